@@ -83,7 +83,7 @@ def schedule(spark, targets: list[float], quotas: list[int], parts: int) -> Data
     limit = F.element_at(F.array([F.lit(int(q)) for q in quotas] or [F.lit(0)]), F.col("source_no") + 1)
     slots = ids.mapInPandas(number, "chunk long, slot long, source_no int, within long")
     return (
-        slots.join(before, ["chunk", "source_no"])
+        slots.hint("merge").join(before, ["chunk", "source_no"])
         .withColumn("rank", F.col("before") + F.col("within"))
         .where(F.col("rank") < limit)
         .select("slot", "source_no", "rank")
@@ -135,7 +135,7 @@ def mix(df: DataFrame, key: str, size: str, source: str, weights=(5, 2, 1), shar
     slots = schedule(spark, targets, quotas, partitions(spark))
     times = slots.select("source_no", (F.col("rank") % n_blocks).alias("block_no")).groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
     taken = (
-        parts_.join(times, (F.col("__no") == F.col("source_no")) & (F.col("__block") == F.col("block_no")))
+        parts_.join(times.hint("merge"), (F.col("__no") == F.col("source_no")) & (F.col("__block") == F.col("block_no")))
         .groupBy("__row")
         .agg(F.sum(F.col("__words") * F.col("times")).alias("taken"))
     )
