@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, save
+from .common import WORD, partitions, save
 
 #: The fractional part of the golden ratio as an odd multiple of 2**-31: all points of a period differ.
 GOLDEN, BITS = 1327217885, 31
@@ -142,3 +142,13 @@ def mix(df: DataFrame, key: str, size: str, source: str, weights=(5, 2, 1), shar
     out = x.join(taken, "__row", "left").select(*df.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out
 
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """documents as the mix takes them: each row as often as its taken words make it, rounded, and none that it doesn't take."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = save(docs.select("doc_id", size.alias("size"), "source"), "sizes")
+    mixed = mix(sized, "doc_id", "size", "source").where("size > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
+    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

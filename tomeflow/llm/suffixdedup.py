@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, RangeHash, at_parts, join_values, map_blocks, parts_of, read_block, split_values, squeeze, squeeze_array, squeeze_keys, to_blocks, unsqueeze, unsqueeze_array, unsqueeze_keys, with_answers
 from .common import partitions, save
@@ -225,3 +226,17 @@ def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     out = with_answers(blocks, both, cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+
+
+@F.pandas_udf(T.StringType())
+def _as_text(kept: pd.Series) -> pd.Series:
+    """Text of the bytes that remain, without characters of which a part was removed."""
+    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+
+def drop_repeated_text(docs: DataFrame, length: int = 100) -> DataFrame:
+    """documents (doc_id, text, lang, source, n_chars) with repeated text cut out; rows of which nothing is left go."""
+    cut = dedup_texts(docs, length).where("n_removed < n_bytes or n_bytes = 0").select(F.col("doc_id").alias("__id"), _as_text("kept").alias("__text"))
+    rest = docs.drop("text").dropDuplicates(["doc_id"])
+    out = cut.join(rest, F.col("__id").eqNullSafe(F.col("doc_id"))).withColumn("text", F.col("__text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
