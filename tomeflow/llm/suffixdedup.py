@@ -25,6 +25,8 @@ from .common import partitions, save
 from .suffixsort import deep_shallow
 
 GRAM = 32
+#: Arrays of a block take about 80 times its bytes while its anchors are found.
+BLOCK_BYTES = 1_500_000
 
 
 class Anchors:
@@ -204,7 +206,7 @@ def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
     doc_id comes first. Other columns are left out; an empty table gives an empty result.
     """
     parts = partitions(docs.sparkSession)
-    blocks = to_blocks(docs)
+    blocks = to_blocks(docs, block_bytes=BLOCK_BYTES)
     grams = at_parts(map_blocks(blocks, _send_grams(length, parts), PART_SCHEMA), _grams_of_more_blocks, PART_SCHEMA)
     grams = save(grams, "grams", "none")
     sent = with_answers(blocks, grams, _send_surroundings(length, parts), PART_SCHEMA)
