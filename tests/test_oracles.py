@@ -1,13 +1,14 @@
 """Each registered query against its SQL in another engine, on the same tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from tomeflow.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library
+from . import library, texts
 
-MODULES = (library,)
+MODULES = (library, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
