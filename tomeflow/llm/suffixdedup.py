@@ -27,6 +27,8 @@ from .suffixsort import deep_shallow
 GRAM = 32
 #: Arrays of a block take about 80 times its bytes while its anchors are found.
 BLOCK_BYTES = 1_500_000
+#: Anchors that are sorted together, about; those of one gram always are.
+RUN_ROWS = 20_000
 
 
 class Anchors:
@@ -161,16 +163,36 @@ def repeated_offsets(gram: np.ndarray, order_keys: tuple, left: np.ndarray, righ
     return out
 
 
+def _runs(gram: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in order of gram, in runs of about RUN_ROWS that keep a gram's rows together; lone grams are left out."""
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, np.int64)
+    size = np.diff(edge)
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(order):
+        end = int(ends[min(np.searchsorted(ends, start + RUN_ROWS), len(ends) - 1)])
+        yield order[start:end]
+        start = end
+
+
 def _sort_suffixes(length: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
         sent = [split_values(p) for p in x["payload"]]
         kinds = ("<u8", "<i8", "<i8", "<i8", "<i4", "<i4")
         cols = [np.concatenate([unsqueeze_array(s[k], kind) for s in sent]) for k, kind in enumerate(kinds)]
         sizes = [len(unsqueeze_array(s[4], "<i4")) for s in sent]
-        width = 2 * length - GRAM
-        around = np.frombuffer(b"".join(unsqueeze(s[6]) for s in sent), np.uint8).reshape(-1, width)
-        found = repeated_offsets(cols[0], tuple(cols[1:4]), cols[4], cols[5], around, length)
-        found = np.split(np.packbits(found, axis=1), np.cumsum(sizes)[:-1])
+        width, at = 2 * length - GRAM, 0
+        around = np.empty((sum(sizes), width), np.uint8)
+        for s, n in zip(sent, sizes, strict=True):
+            around[at : at + n] = np.frombuffer(unsqueeze(s[6]), np.uint8).reshape(n, width)
+            at += n
+        found = np.zeros((len(around), -(-(length - GRAM + 1) // 8)), np.uint8)
+        for i in _runs(cols[0]):
+            found[i] = np.packbits(repeated_offsets(cols[0][i], tuple(c[i] for c in cols[1:4]), cols[4][i], cols[5][i], around[i], length), axis=1)
+        found = np.split(found, np.cumsum(sizes)[:-1])
         return pd.DataFrame({"block": x["block"], "part": x["part"], "payload": [squeeze(f.tobytes()) for f in found]})
 
     return run
