@@ -26,7 +26,7 @@ from .suffixsort import deep_shallow
 
 GRAM = 32
 #: Arrays of a block take about 80 times its bytes while its anchors are found.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 500_000
 #: Anchors that are sorted together, about; those of one gram always are.
 RUN_ROWS = 20_000
 
@@ -86,7 +86,7 @@ def _send_grams(length: int, parts: int):
     def run(block: int, payload: bytes) -> Iterator[pd.DataFrame]:
         keys = np.unique(Anchors(block, payload, length).gram)
         cuts = parts_of(keys, parts)
-        rows = [(block, p, squeeze_keys(keys[cuts[p] : cuts[p + 1]])) for p in range(parts)]
+        rows = [(block, p, squeeze_keys(keys[cuts[p] : cuts[p + 1]])) for p in range(parts) if cuts[p + 1] > cuts[p]]
         yield pd.DataFrame(rows, columns=["block", "part", "payload"])
 
     return run
@@ -99,21 +99,20 @@ def _grams_of_more_blocks(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": x["block"], "part": x["part"], "payload": [squeeze(np.packbits(m).tobytes()) for m in more]})
 
 
-def _twice(a: Anchors, answers: dict[int, bytes]) -> np.ndarray:
+def _twice(a: Anchors, answers: dict[int, bytes], parts: int) -> np.ndarray:
     """Which anchors' grams occur at another anchor, here or in another block."""
     if not len(a.at):
         return np.zeros(0, bool)
     keys, at, n = np.unique(a.gram, return_inverse=True, return_counts=True)
-    parts = len(answers)
     cuts = parts_of(keys, parts)
-    more = [np.unpackbits(np.frombuffer(unsqueeze(answers[p]), np.uint8))[: cuts[p + 1] - cuts[p]] for p in range(parts)]
+    more = [np.unpackbits(np.frombuffer(unsqueeze(answers[p]), np.uint8))[: cuts[p + 1] - cuts[p]] for p in range(parts) if cuts[p + 1] > cuts[p]]
     return (np.concatenate(more).astype(bool) | (n > 1))[at]
 
 
 def _send_surroundings(length: int, parts: int):
     def run(block: int, payload: bytes, answers: dict[int, bytes]) -> pd.DataFrame:
         a = Anchors(block, payload, length)
-        firsts, _ = a.choose(_twice(a, answers))
+        firsts, _ = a.choose(_twice(a, answers, parts))
         keys = a.gram[firsts]
         cuts = parts_of(keys, parts)
         width = a.offsets - 1 + length
@@ -121,8 +120,10 @@ def _send_surroundings(length: int, parts: int):
         rows = []
         for p in range(parts):
             i = firsts[cuts[p] : cuts[p + 1]]
+            if not len(i):
+                continue
             # offsets - 1 bytes before the anchor and `length` from it; beyond the document's ends they don't count.
-            around = buf[(a.at[i] + 1)[:, None] + np.arange(width)] if len(i) else np.zeros((0, width), np.uint8)
+            around = buf[(a.at[i] + 1)[:, None] + np.arange(width)]
             d = a.doc[i]
             values = (a.gram[i], a.ids[d], a.uid[d], a.at[i] - a.starts[d], a.left[i].astype("<i4"), a.right[i].astype("<i4"))
             rows.append((block, p, join_values(*map(squeeze_array, values), squeeze(around.tobytes()))))
@@ -198,16 +199,16 @@ def _sort_suffixes(length: int):
     return run
 
 
-def _mark(length: int):
+def _mark(length: int, parts: int):
     """(bytes to remove, Anchors) of a block."""
 
     def run(block: int, payload: bytes, answers: dict[int, bytes], masks: dict[int, bytes]) -> tuple[np.ndarray, Anchors]:
         a = Anchors(block, payload, length)
         gone = np.zeros(len(a.buf) + 1, np.int64)
         if len(a.at):
-            firsts, later = a.choose(_twice(a, answers))
+            firsts, later = a.choose(_twice(a, answers, parts))
             row = -(-a.offsets // 8)
-            bits = np.concatenate([np.frombuffer(unsqueeze(masks[p]), np.uint8).reshape(-1, row) for p in sorted(masks)])
+            bits = np.concatenate([np.zeros((0, row), np.uint8), *(np.frombuffer(unsqueeze(masks[p]), np.uint8).reshape(-1, row) for p in sorted(masks))])
             repeated = np.zeros((len(a.at), row), np.uint8)
             repeated[firsts] = bits
             repeated[later] = 255
@@ -235,7 +236,7 @@ def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
     masks = at_parts(sent, _sort_suffixes(length), PART_SCHEMA)
     # Both answers meet their block together; those of the second kind have negative part numbers.
     both = grams.unionByName(masks.withColumn("part", (-1 - F.col("part")).cast("int")))
-    mark = _mark(length)
+    mark = _mark(length, parts)
 
     def cut(block: int, payload: bytes, got: dict[int, bytes]) -> pd.DataFrame:
         gone, a = mark(block, payload, {p: v for p, v in got.items() if p >= 0}, {-1 - p: v for p, v in got.items() if p < 0})
