@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, RangeHash, at_parts, join_values, map_blocks, parts_of, read_block, split_values, squeeze, squeeze_array, squeeze_keys, to_blocks, unsqueeze, unsqueeze_array, unsqueeze_keys, with_answers
+from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, RangeHash, at_parts, join_values, map_blocks, mix, parts_of, read_block, split_values, squeeze, squeeze_array, squeeze_keys, to_blocks, unsqueeze, unsqueeze_array, unsqueeze_keys, with_answers
 from .common import partitions, save
 from .suffixsort import deep_shallow
 
@@ -66,7 +66,7 @@ class Anchors:
         self.at = anchor[new]  # anchors in order of place; windows of an anchor follow each other
         self.which = np.cumsum(new) - 1
         self.doc = doc[new]
-        self.gram = grams[self.at]
+        self.gram = mix(grams[self.at])  # anchors have small hashes: mixed again, they spread over the partitions
         self.left = np.minimum(self.at - self.starts[self.doc], self.offsets - 1)
         self.right = np.minimum(self.ends[self.doc] - self.at, length)
         with np.errstate(over="ignore"):
