@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, texts
+from . import library, pool, texts
 
-MODULES = (library, texts)
+MODULES = (library, texts, pool)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
