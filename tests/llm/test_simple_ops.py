@@ -189,3 +189,10 @@ def test_mixing_odd_rows(spark):
 def test_water_fill():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, 200 * 0 + 250 * 2 / 3, 250 / 3]
     assert mixing.water_fill([], [], 0, 2) == []
+
+
+def test_weights_converge_where_labels_part():
+    from tomeflow.llm import toxicity
+
+    bias, weights = toxicity._fit_weights([([0, 0, 0, 0, 0, 0], 0, 14000), ([3, 0, 0, 0, 0, 0], 1, 1500), ([1, 0, 0, 0, 1, 0], 1, 200), ([0, 0, 0, 0, 1, 0], 0, 50)])
+    assert -30 < bias < -2 and all(abs(w) < 30 for w in weights) and bias + weights[0] > 0

@@ -25,6 +25,8 @@ MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
 #: A term is learned from this many toxic rows at least, of which toxic ones, with labels balanced, make this share.
 LEAST_ROWS, PRECISION, MOST_TERMS = 4, 0.97, 4_000
 STEM_LENGTHS = range(4, 9)
+#: Of so many toxic rows a term needs a context of its own, apart from its most frequent one (see _support).
+LEAST_SHARE = 0.005
 #: Terms of so many characters tolerate one error.
 FUZZY_LENGTH = 5
 WINDOW = 6
@@ -185,13 +187,43 @@ def _counts(sample: DataFrame, only: frozenset | None, least: int) -> dict[str,
     return dict(zip(got["term"], got["n"], strict=True))
 
 
-def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Terms and stems with the asked precision; the shortest stem stands for those that it begins."""
+def _support(sample: DataFrame, only: frozenset) -> dict[str, int]:
+    """Contexts (words before and after) of each term that share neither word with its most frequent context.
+
+    A term of one text that was copied, with or without edits, has next to none; a term in use has many.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found: set = set()
+            for t in f["text"]:
+                words = ["", *(normal(w) for w in t.split()), ""]
+                for i in range(1, len(words) - 1):
+                    w = words[i]
+                    for c in (w, *(w[:n] + "*" for n in STEM_LENGTHS if n < len(w))):
+                        if c in only:
+                            found.add((c, words[i - 1], words[i + 1], t))
+            yield pd.DataFrame([x[:3] for x in found], columns=["term", "l", "r"], dtype=object)
+
+    rows = sample.select("text").distinct().mapInPandas(run, "term string, l string, r string").groupBy("term", "l", "r").agg(F.count("*").alias("n"))
+    most = rows.groupBy("term").agg(F.max_by(F.struct("l", "r"), F.struct("n", "l", "r")).alias("m"))
+    other = rows.join(most, "term").where("l <> m.l and r <> m.r").groupBy("term").agg(F.count("*").alias("k"))
+    got = other.toArrow().to_pydict()  # a row for each candidate term of a bounded sample
+    return dict(zip(got["term"], got["k"], strict=True))
+
+
+def _precise(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, int]:
+    """The candidates with the asked precision."""
     good = {}
     for t, n in toxic.items():
         a, b = n / max(1, n_toxic), (clean.get(t, 0) + 0.5) / max(1, n_clean)
         if a / (a + b) >= PRECISION:
             good[t] = n
+    return good
+
+
+def _choose(good: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Terms and stems; the shortest stem stands for those that it begins."""
     stems: list[str] = []
     for s in sorted((t[:-1] for t in good if t.endswith("*")), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in stems):
@@ -211,14 +243,17 @@ def _fit_weights(cells: list[tuple[list[int], int, int]]) -> tuple[float, list[f
     prior = np.array([-3.0] + [4.0, 1.0, 3.5, 0.8, 2.5, 0.5])  # without rows, what matches of each kind suggest
     w = prior.copy()
     ridge = np.diag([0.01] + [0.5] * d)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    loss = lambda v: float(n @ (np.logaddexp(0, x @ v) - y * (x @ v)) + (v - prior) @ ridge @ (v - prior) / 2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (n * (p - y)) + ridge @ (w - prior)
         hess = (x * (n * p * (1 - p))[:, None]).T @ x + ridge
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step, now, part = np.linalg.solve(hess, grad), loss(w), 1.0
+        while part > 1e-6 and loss(w - part * step) > now:  # a whole step may overshoot where labels part well
+            part /= 2
+        if part <= 1e-6 or np.abs(part * step).max() < 1e-8:
             break
+        w = w - part * step
     return float(w[0]), [float(v) for v in w[1:]]
 
 
@@ -232,7 +267,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     size = {(r.y, r.fit): r["count"] for r in sample.groupBy("y", "fit").count().collect()}
     toxic = _counts(sample.where("y = 1 and fit = 0"), None, LEAST_ROWS)
     clean = _counts(sample.where("y = 0 and fit = 0"), frozenset(toxic), 1)
-    terms, stems = _choose(toxic, clean, size.get((1, 0), 0), size.get((0, 0), 0))
+    good = _precise(toxic, clean, size.get((1, 0), 0), size.get((0, 0), 0))
+    support = _support(sample.where("y = 1 and fit = 0"), frozenset(good)) if good else {}
+    least = max(LEAST_ROWS - 1, LEAST_SHARE * size.get((1, 0), 0))
+    terms, stems = _choose({t: n for t, n in good.items() if support.get(t, 0) >= least})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton, known = LexiconAutomaton(terms, stems), {}
