@@ -195,4 +195,5 @@ def test_weights_converge_where_labels_part():
     from tomeflow.llm import toxicity
 
     bias, weights = toxicity._fit_weights([([0, 0, 0, 0, 0, 0], 0, 14000), ([3, 0, 0, 0, 0, 0], 1, 1500), ([1, 0, 0, 0, 1, 0], 1, 200), ([0, 0, 0, 0, 1, 0], 0, 50)])
-    assert -30 < bias < -2 and all(abs(w) < 30 for w in weights) and bias + weights[0] > 0
+    assert -100 < bias < 0 and all(abs(w) < 100 for w in weights)
+    assert bias + 3 * weights[0] > 0 and bias + weights[0] + weights[4] > 0 > bias + weights[4]
