@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import bound_batches, save
 
 BLOCK_BYTES = 4_000_000
 BLOCK_DOCS = 1 << 20
@@ -101,6 +101,7 @@ def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_by
         if ids:
             yield block()
 
+    bound_batches(docs.sparkSession)
     k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))
     src = docs.select(k.alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     return save(src.mapInPandas(run, "block long, payload binary"), "blocks", "none")

@@ -12,6 +12,8 @@ WORD_SEP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Used only where no shared folder is configured, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Bytes of rows that go to Python at a time: texts differ in length too much for a number of rows to bound them.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,11 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in Arrow batches of about BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 CACHE_PIECES = 400_000
 #: Where the text can't be cut before single spaces: white space in a row or outside ASCII, and special tokens.
 _UNCUT = re.compile("\\s\\s|[\\x00\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
@@ -105,5 +107,6 @@ def encode_documents(df: DataFrame, key: str, text: str, tokenizer: str | None =
             for a, b in groups(texts):
                 yield pd.DataFrame({"k": f["k"].iloc[a:b].to_numpy(), "ids": [x + end for x in enc.encode(texts[a:b])]})
 
+    bound_batches(df.sparkSession)
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return src.mapInPandas(run, f"k {kind}, ids binary").select(F.col("k").alias(key), "ids")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, discard, save
+from .common import bound_batches, crc_fold, discard, save
 
 #: Bounds of the sample of labelled rows that lexicon and weights are fitted on, by label.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
@@ -263,6 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     The rows used are bounded by MOST_TOXIC and MOST_CLEAN; three quarters give terms, the rest weights.
     Without labelled rows the lexicon is empty and every text gets the same low score.
     """
+    bound_batches(docs.sparkSession)
     sample = save(_sample(docs, labels), "toxic")
     size = {(r.y, r.fit): r["count"] for r in sample.groupBy("y", "fit").count().collect()}
     toxic = _counts(sample.where("y = 1 and fit = 0"), None, LEAST_ROWS)
