@@ -7,8 +7,6 @@ a bounded number of rows, each packed alone, so the work is spread and a block l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,22 +86,15 @@ def cut_pieces(ids: DataFrame, key: str, capacity: int) -> DataFrame:
 
     The first piece takes the remainder, the others are full.
     """
-    kind = ids.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, b in zip(f["k"].to_numpy(), f["ids"], strict=True):
-                n = len(b) // 4
-                first = n % capacity or min(n, capacity)
-                at, piece = 0, 0
-                while at < n or piece == 0:
-                    end = first if piece == 0 else at + capacity
-                    rows.append((k, piece, at, end - at, b[4 * at : 4 * end]))
-                    at, piece = end, piece + 1
-            yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids"])
-
-    return ids.select(F.col(key).alias("k"), "ids").mapInPandas(run, f"k {kind}, piece int, start long, length long, ids binary").withColumnRenamed("k", key)
+    n = F.octet_length("ids").cast("long") / 4
+    x = ids.select(key, "ids", n.cast("long").alias("__n"))
+    first = F.when(F.col("__n") % capacity > 0, F.col("__n") % capacity).otherwise(F.least("__n", F.lit(capacity)))
+    count = F.greatest(F.ceil(F.col("__n") / capacity).cast("int"), F.lit(1))
+    x = x.withColumn("__first", first.cast("long")).withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
+    x = x.withColumn("start", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.col("__first") + (F.col("piece") - 1) * capacity).cast("long"))
+    x = x.withColumn("length", F.when(F.col("piece") == 0, F.col("__first")).otherwise(F.lit(capacity)).cast("long"))
+    own = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return x.select(key, "piece", "start", "length", own.alias("ids"))
 
 
 def pack(pieces: DataFrame, key: str, capacity: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
