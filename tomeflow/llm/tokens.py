@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 CACHE_PIECES = 400_000
+#: Pieces that are encoded as one text.
+JOINED = 512
 #: Where the text can't be cut before single spaces: white space in a row or outside ASCII, and special tokens.
 _UNCUT = re.compile("\\s\\s|[\\x00\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
 
@@ -38,14 +40,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Bytes of each token: a byte-level vocabulary writes a character for each.
+        vocab = self.tokenizer.get_vocab(True)
+        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocab.values())] = list(map(len, vocab))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a space, encoded in a row and parted by the tokens' bytes."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), JOINED):
+            part = pieces[k : k + JOINED]
+            raw = self._ids(["".join(part)])[0]
+            have = np.cumsum(self.sizes[np.frombuffer(raw, "<u4")])
+            ends = np.cumsum([len(p.encode()) for p in part])
+            at = np.searchsorted(have, ends)
+            if have[-1] != ends[-1] or (have[at] != ends).any():  # tokens that are not of their bytes
+                out += self._ids(part)
+                continue
+            begin = 0
+            for end in (4 * at + 4).tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        inner = [p for p in pieces if p[:1] != "\0"]
+        first = [p for p in pieces if p[:1] == "\0"]
+        self.known.update(zip(inner, self._joined([" " + p for p in inner]), strict=True))
+        self.known.update(zip(first, self._ids([p[1:] for p in first]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         cut, whole = {}, []
-        known, new = self.known, {}
+        known = self.known
         for i, text in enumerate(texts):
             # Each piece but the first keeps the space before it; the first is marked, as it has none.
             if not text or _UNCUT.search(text) or text[-1] == " " or text[0] == " ":
@@ -54,17 +84,13 @@ class Encoder:
             pieces = text.split(" ")
             pieces[0] = "\0" + pieces[0]
             cut[i] = pieces
-            for p in pieces:
-                if p not in known:
-                    new[p] = None
-        if new:
+        if cut:
+            used = set().union(*cut.values())
+            new = used.difference(known)
             if len(known) + len(new) > CACHE_PIECES:
                 known.clear()
-                new = dict.fromkeys(p for pieces in cut.values() for p in pieces)
-            names = list(new)
-            for k in range(0, len(names), 20_000):
-                part = names[k : k + 20_000]
-                known.update(zip(part, self._ids([p[1:] if p[:1] == "\0" else " " + p for p in part]), strict=True))
+                new = used
+            self._learn(list(new))
         for i, pieces in cut.items():
             out[i] = b"".join(map(known.__getitem__, pieces))
         if whole:
