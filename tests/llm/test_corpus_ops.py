@@ -120,6 +120,19 @@ def test_signatures_meet():
                     assert np.intersect1d(jaccard.set_signatures(a, num, den, family), jaccard.set_signatures(b, num, den, family)).size
 
 
+def test_jaccard_split_regions_of_two(spark, monkeypatch):
+    """Texts of one template: some linked pairs share only regions that are split, and then meet alone."""
+    monkeypatch.setattr(jaccard, "LEAF", 2)
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    rows = []
+    for i in range(80):
+        text = f"we sell the best goods in the whole {i}p {i}q {i}r {i}s"
+        rows += [(2 * i, text), (2 * i + 1, f"{text} {i}t")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(frame(spark, rows)).collect()}
+    assert got == plain_jaccard(rows, 3, 90, 100)
+    assert {c for _, c in got.values()} == set(range(0, 160, 2))
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (5, ""), (6, None), (9, "Z z"), (8, "z Z")]
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_join(frame(spark, rows)).collect())

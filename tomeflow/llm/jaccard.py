@@ -258,7 +258,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
         at = done.select(F.col("a").alias("name"), F.col("b").alias("pivot"), "near")
         x = regions.join(at, ["name", "pivot"], "left").join(roots.withColumnRenamed("node", "name"), "name", "left")
         x = x.select("region", "name", "n", "pivot", F.coalesce("near", F.lit(1.0)).alias("near"), F.coalesce("root", "name").alias("root"))
-        open_ = x.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and size > 2")
+        # A region of two is done where one is its pivot; split regions have none that was measured.
+        open_ = x.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").where(F.col("size") > (2 if level == 1 else 1))
         x = save(x.join(open_.select("region", "size"), "region"), "open")
         last = level == MOST_LEVELS
         small = x.where(F.col("size") <= LEAF)
