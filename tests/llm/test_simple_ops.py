@@ -166,6 +166,27 @@ def test_toxicity_context_and_empty(spark):
     assert toxicity.drop_toxic(docs, nothing).count() == 4
 
 
+def test_toxicity_learns_beside_copies(spark):
+    """Copies of one toxic text are most rows; few other texts hold a rare term, always after the same word."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    copied = "some long copied passage about nothing in particular " + text(20)
+    toxic = [copied] * 2500 + [f"{text(6)} you {w} {text(6)}" for w in ("blorpface", "zagnut") for _ in range(15)]
+    clean = [text(14) + " you " + text(3) for _ in range(400)] + [copied + " and more " + text(4)] * 3
+    rows = list(enumerate(toxic + clean))
+    docs = docs_frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    found = toxicity.LexiconAutomaton(model.terms, model.stems)
+    assert found.match("blorpface") >= 0 and found.match("zagnut") >= 0
+    assert all(found.match(w) < 0 for w in ("passage", "particular", "you"))
+    new = docs_frame(spark, [(9001, f"{text(5)} you blorpface {text(5)}"), (9002, text(12))])
+    assert [r.doc_id for r in new.where(toxicity.score_column(model)("text") >= 0.5).collect()] == [9001]
+
+
 def test_mixing(spark):
     got, docs = queries.op9_mixing(spark, SF).toPandas(), documents()
     words = docs.text.str.findall(r"[^\x20\x09-\x0D]+").str.len()

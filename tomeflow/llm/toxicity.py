@@ -22,11 +22,11 @@ from .common import bound_batches, crc_fold, discard, save
 
 #: Bounds of the sample of labelled rows that lexicon and weights are fitted on, by label.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
-#: A term is learned from this many toxic rows at least, of which toxic ones, with labels balanced, make this share.
+#: A term is learned from this many distinct toxic texts at least, of which toxic ones, with labels balanced, make this share.
 LEAST_ROWS, PRECISION, MOST_TERMS = 4, 0.97, 4_000
 STEM_LENGTHS = range(4, 9)
-#: Of so many toxic rows a term needs a context of its own, apart from its most frequent one (see _support).
-LEAST_SHARE = 0.005
+#: Contexts of its own a term needs (see _support), and their share of its texts: edited copies reach the first by number.
+LEAST_SUPPORT, OWN_SHARE = 3, 0.01
 #: Terms of so many characters tolerate one error.
 FUZZY_LENGTH = 5
 WINDOW = 6
@@ -151,13 +151,16 @@ def features(text: str, automaton: LexiconAutomaton, known: dict[str, int]) -> l
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded sample of labelled training rows: the first of each label in hashed order."""
+    """The bounded sample of labelled training texts: the first of each label in hashed order, copies counted once."""
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 5) != 0))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     order = F.xxhash64(F.lit("toxic"), "doc_id")
-    picked = ids.where("y = 1").orderBy(order, "doc_id").limit(MOST_TOXIC).union(ids.where("y = 0").orderBy(order, "doc_id").limit(MOST_CLEAN))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first = texts.select("doc_id", F.xxhash64("text").alias("h")).join(ids, "doc_id").groupBy("y", "h").agg(F.min(F.struct(order.alias("o"), "doc_id")).alias("m"))
+    first = first.select("m.doc_id", "y", "m.o")
+    picked = first.where("y = 1").orderBy("o", "doc_id").limit(MOST_TOXIC).union(first.where("y = 0").orderBy("o", "doc_id").limit(MOST_CLEAN)).drop("o").distinct()
     fit = F.when(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(4)) == 0, 1).otherwise(0)  # of weights, not of terms
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.withColumn("fit", fit)), "doc_id")
+    return texts.join(F.broadcast(picked.withColumn("fit", fit)), "doc_id").groupBy("y", "text").agg(F.min("fit").alias("fit"))
 
 
 def _candidates(text: str) -> set[str]:
@@ -170,7 +173,7 @@ def _candidates(text: str) -> set[str]:
 
 
 def _counts(sample: DataFrame, only: frozenset | None, least: int) -> dict[str, int]:
-    """Rows that have each candidate term."""
+    """Texts that have each candidate term; sample has none twice."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -188,26 +191,32 @@ def _counts(sample: DataFrame, only: frozenset | None, least: int) -> dict[str,
 
 
 def _support(sample: DataFrame, only: frozenset) -> dict[str, int]:
-    """Contexts (words before and after) of each term that share neither word with its most frequent context.
+    """Contexts (two words before and two after) of each term that share at most one word, at its place, with its
+    most frequent context.
 
-    A term of one text that was copied, with or without edits, has next to none; a term in use has many.
+    A term of one text that was copied, with or without edits, has next to none; a term in use has many, also
+    where the same word always stands before it.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found: set = set()
+            rows: list = []
             for t in f["text"]:
-                words = ["", *(normal(w) for w in t.split()), ""]
-                for i in range(1, len(words) - 1):
+                words = ["", "", *(normal(w) for w in t.split()), "", ""]
+                found = set()
+                for i in range(2, len(words) - 2):
                     w = words[i]
                     for c in (w, *(w[:n] + "*" for n in STEM_LENGTHS if n < len(w))):
                         if c in only:
-                            found.add((c, words[i - 1], words[i + 1], t))
-            yield pd.DataFrame([x[:3] for x in found], columns=["term", "l", "r"], dtype=object)
-
-    rows = sample.select("text").distinct().mapInPandas(run, "term string, l string, r string").groupBy("term", "l", "r").agg(F.count("*").alias("n"))
-    most = rows.groupBy("term").agg(F.max_by(F.struct("l", "r"), F.struct("n", "l", "r")).alias("m"))
-    other = rows.join(most, "term").where("l <> m.l and r <> m.r").groupBy("term").agg(F.count("*").alias("k"))
+                            found.add((c, words[i - 2], words[i - 1], words[i + 1], words[i + 2]))
+                rows += found
+            yield pd.DataFrame(rows, columns=["term", "c0", "c1", "c2", "c3"], dtype=object)
+
+    at = ["c0", "c1", "c2", "c3"]
+    rows = sample.select("text").mapInPandas(run, "term string, c0 string, c1 string, c2 string, c3 string").groupBy("term", *at).agg(F.count("*").alias("n"))
+    most = rows.groupBy("term").agg(F.max_by(F.struct(*at), F.struct("n", *at)).alias("m"))
+    same = sum((F.col(c) == F.col(f"m.{c}")).cast("int") for c in at)
+    other = rows.join(most, "term").where(same <= 1).groupBy("term").agg(F.count("*").alias("k"))
     got = other.toArrow().to_pydict()  # a row for each candidate term of a bounded sample
     return dict(zip(got["term"], got["k"], strict=True))
 
@@ -260,7 +269,8 @@ def _fit_weights(cells: list[tuple[list[int], int, int]]) -> tuple[float, list[f
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon and weights from labelled rows outside the held-out fold (crc32 of the id mod 5 is 0).
 
-    The rows used are bounded by MOST_TOXIC and MOST_CLEAN; three quarters give terms, the rest weights.
+    The distinct texts used are bounded by MOST_TOXIC and MOST_CLEAN; three quarters give terms, the rest weights.
+    Copies of a text count once.
     Without labelled rows the lexicon is empty and every text gets the same low score.
     """
     bound_batches(docs.sparkSession)
@@ -270,8 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     clean = _counts(sample.where("y = 0 and fit = 0"), frozenset(toxic), 1)
     good = _precise(toxic, clean, size.get((1, 0), 0), size.get((0, 0), 0))
     support = _support(sample.where("y = 1 and fit = 0"), frozenset(good)) if good else {}
-    least = max(LEAST_ROWS - 1, LEAST_SHARE * size.get((1, 0), 0))
-    terms, stems = _choose({t: n for t, n in good.items() if support.get(t, 0) >= least})
+    terms, stems = _choose({t: n for t, n in good.items() if support.get(t, 0) >= max(LEAST_SUPPORT, OWN_SHARE * n)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton, known = LexiconAutomaton(terms, stems), {}
