@@ -7,6 +7,7 @@ from tomeflow.operators import extraction as E
 from tomeflow.operators import relational as R
 from tomeflow.operators import state as S
 from tomeflow.operators import textquality as Q
+from tomeflow.plans import texts
 from tomeflow.sources import sinks
 
 
@@ -73,3 +74,14 @@ def test_verdicts_of_empty_and_null_texts(spark):
 def test_last_write_wins_breaks_ties(spark):
     x = spark.createDataFrame([(1, 10, 1, "a"), (1, 10, 2, "b"), (2, None, 1, "c")], "k int, ts int, id int, v string")
     assert rows(S.last_write_wins(x, ["k"], "ts", "id", ["v"]), "k", "v") == [(1, "b"), (2, "c")]
+
+
+def test_dup_clusters_of_a_long_chain(spark, tmp_path):
+    """Each title is near to the next only; the last is 19 hops from the least id."""
+    import random
+
+    line = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=80))
+    docs = spark.createDataFrame([(i, line[2 * i : 2 * i + 20], "en") for i in range(20)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(texts.dup_clusters(spark, str(tmp_path)), "doc_id", "cluster")
+    assert got == sorted(((i, 0) for i in range(20)), key=repr)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import components as C
 from ..operators import extraction as E
 from ..operators import relational as R
 from ..operators import state as S
@@ -86,13 +87,7 @@ def similar_titles(s, d):
 
 def dup_clusters(s, d):
     """Single-link clusters of similar titles: labels spread to a fixpoint, each round a small join."""
-    links = similar_titles(s, d).select("a", "b")
-    both = links.union(links.select("b", "a")).toDF("a", "b")
-    label = both.select(F.col("a").alias("doc_id")).distinct().withColumn("cluster", F.col("doc_id"))
-    for _ in range(6):
-        near = both.join(label.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
-        label = label.join(near, F.col("a") == F.col("doc_id"), "left").select("doc_id", F.least("cluster", "m").alias("cluster"))
-    return label
+    return C.least_labels(similar_titles(s, d).select("a", "b"), "a", "b", _shared(s)).toDF("doc_id", "cluster")
 
 
 def clip_ellipsis(s, d):
