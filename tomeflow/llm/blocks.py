@@ -162,6 +162,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def load_words(data: bytes, at: np.ndarray, size: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Bytes at..at + size of data as n uint64 columns, zeros after the end; data has 8 * n bytes more than at + size."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    for k in range(n):
+        yield words[np.minimum(at + 8 * k, len(words) - 1)] & masks[np.clip(size - 8 * k, 0, 8)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         n = max(n, 1 << 20)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +13,13 @@ from pyspark.sql import functions as F
 #: Characters that separate words in every operator here.
 WORD_SEP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where no shared folder is configured, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
 #: Bytes of rows that go to Python at a time: texts differ in length too much for a number of rows to bound them.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The cluster's shared folder: spark.checkpoint.dir. Where it is unset, one below the warehouse, which is shared too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -49,6 +50,28 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def free_memory() -> None:
+    """Give what a Python worker has freed back to the system: workers live on, and the next stage needs it elsewhere."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable[[Iterator], Iterator]:
+    """run, a function of an iterator of batches, with free_memory() at its end."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        free_memory()
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
