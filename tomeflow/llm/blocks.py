@@ -7,6 +7,7 @@ the partition answers in the same order. Blocks are a written table, hence the s
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Callable, Iterator
 
@@ -16,11 +17,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, save
+from .common import bound_batches, free_memory, partitions, save, tidy
 
 BLOCK_BYTES = 4_000_000
 BLOCK_DOCS = 1 << 20
 NULL_ID = -(1 << 63)
+#: Bytes of text that a key range answers for, about.
+PART_BYTES = 8_000_000
+#: Longer words are hashed by a digest.
+WORD_BYTES = 64
 PART_SCHEMA = "block long, part int, payload binary"
 
 
@@ -73,7 +78,7 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Saved table (block, payload). Null texts are empty, null keys NULL_ID; rows stay apart, equal or not.
+    """Saved table (block, payload, n_bytes). Null texts are empty, null keys NULL_ID; rows stay apart, equal or not.
 
     A row's uid is block * BLOCK_DOCS + its place.
     """
@@ -88,7 +93,7 @@ def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_by
         def block() -> pd.DataFrame:
             lengths = np.fromiter(map(len, texts), "<i8", len(texts))
             payload = join_values(np.array(ids, "<i8").tobytes(), lengths.tobytes(), squeeze(b"".join(texts)))
-            return pd.DataFrame({"block": [(part << 20) + seq], "payload": [payload]})
+            return pd.DataFrame({"block": [(part << 20) + seq], "payload": [payload], "n_bytes": [int(lengths.sum())]})
 
         for f in frames:
             for k, t in zip(f["k"].tolist(), f["t"], strict=True):
@@ -104,7 +109,13 @@ def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_by
     bound_batches(docs.sparkSession)
     k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))
     src = docs.select(k.alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return save(src.mapInPandas(run, "block long, payload binary"), "blocks", "none")
+    return save(src.mapInPandas(tidy(run), "block long, payload binary, n_bytes long"), "blocks", "none")
+
+
+def parts_for(blocks: DataFrame) -> int:
+    """Key ranges that the texts of blocks are dealt to: as many as their bytes ask for, however many partitions are set."""
+    n = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    return max(partitions(blocks.sparkSession), -(-n // PART_BYTES))
 
 
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -121,14 +132,16 @@ def map_blocks(blocks: DataFrame, f: Callable[[int, bytes], Iterator[pd.DataFram
             for block, payload in zip(x["block"], x["payload"], strict=True):
                 yield from f(block, payload)
 
-    return blocks.mapInPandas(run, schema)
+    return blocks.mapInPandas(tidy(run), schema)
 
 
 def at_parts(sent: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """f of all that blocks have sent to a partition, a slice of the key space of bounded expected size."""
+    """f of all that blocks have sent to a key range; parts_for() bounds the expected size of one."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        return f(x.sort_values("block", ignore_index=True))
+        out = f(x.sort_values("block", ignore_index=True))
+        free_memory()
+        return out
 
     return sent.groupBy("part").applyInPandas(run, schema)
 
@@ -137,7 +150,9 @@ def with_answers(blocks: DataFrame, answers: DataFrame, f: Callable[[int, bytes,
     """f(block, payload, {part: answer}) of every block."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return f(int(a["block"].iloc[0]), a["payload"].iloc[0], dict(zip(b["part"].tolist(), b["payload"], strict=True)))
+        out = f(int(a["block"].iloc[0]), a["payload"].iloc[0], dict(zip(b["part"].tolist(), b["payload"], strict=True)))
+        free_memory()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
@@ -147,8 +162,6 @@ def with_answers(blocks: DataFrame, answers: DataFrame, f: Callable[[int, bytes,
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 64, 256, np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -199,12 +212,27 @@ class RangeHash:
         return mix((self.h[k:] - self.h[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def word_hashes(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, 8 bytes at a time; those of more than WORD_BYTES bytes by a digest of their own."""
+    h = size.astype(np.uint64) * _BASE
+    left, k = np.arange(len(at)), 0
+    while len(left) and k < WORD_BYTES:
+        (w,) = load_words(data, at[left] + k, size[left] - k, 1)
+        with np.errstate(over="ignore"):
+            h[left] = mix((h[left] + np.uint64(0x9E3779B97F4A7C15)) ^ w)
+        k += 8
+        left = left[size[left] > k]
+    for i in left.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[at[i] : at[i] + size[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def block_words(lengths: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, A-Z in lower case; words of each document)."""
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(lengths), np.int64)
-    buf = _LOWER[buf]
-    inside = ~_IS_SEP[buf]
+    data = buf.tobytes().lower() + bytes(8)  # of bytes, lower() changes A-Z only
+    inside = ~_IS_SEP[np.frombuffer(data, np.uint8)[: len(buf)]]
     ends = np.cumsum(lengths)
     starts = ends - lengths
     begins = inside.copy()
@@ -217,4 +245,4 @@ def block_words(lengths: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.nd
     stops[last] = inside[last]
     a, b = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     n = np.searchsorted(a, ends) - np.searchsorted(a, starts)
-    return RangeHash(buf).of(a, b), n
+    return word_hashes(data, a, b - a), n

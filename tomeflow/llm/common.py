@@ -80,6 +80,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_hash(df: DataFrame):
+    """A hash of all values of a row but maps, to order or tell apart rows that share a key."""
+    kinds = dict(df.dtypes)
+    return F.xxhash64(F.lit("row"), *[F.col(f"`{c}`") for c in df.columns if "map<" not in kinds[c]])
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df as one column __r, so that columns added beside it never clash with its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__r"))
+
+
+def unpacked(df: DataFrame, columns: list[str], new: list[str]) -> DataFrame:
+    """columns of __r and the new columns of df, which replace those of their names."""
+    return df.select(*[F.col("__r").getField(c).alias(c) for c in columns if c not in new], *new)
+
+
 def crc_fold(doc_id: str, folds: int):
     """crc32 of the decimal id modulo folds, the split all learned operators share."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds)

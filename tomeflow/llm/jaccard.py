@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, at_parts, block_words, join_values, map_blocks, mix, parts_of, read_block, split_values, squeeze_array, squeeze_keys, to_blocks, unsqueeze_array, unsqueeze_keys
-from .common import partitions, save
+from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, at_parts, block_words, join_values, map_blocks, mix, parts_for, parts_of, read_block, split_values, squeeze_array, squeeze_keys, to_blocks, unsqueeze_array, unsqueeze_keys
+from .common import free_memory, save, tidy
 from .components import components
 
 #: Open pairs of regions of up to LEAF sets are compared one by one, those of regions of up to GROUP sets in
@@ -217,9 +217,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
     words than a shingle have one shingle; rows with equal texts link. A null doc_id stands first and its
     component is null. Other columns are left out; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
     blocks = to_blocks(docs)
+    parts = parts_for(blocks)
     rows = save(map_blocks(blocks, _describe(words), "uid long, doc_id long, n long, name long"), "sets")
     sent = map_blocks(blocks, _send(words, num, den, parts), PART_SCHEMA)
     found = at_parts(sent, _regions, "region long, uid long")
@@ -239,7 +238,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
                 s = Sets(payload, words).sets
                 yield pd.DataFrame({"name": [t["name"] for t in take], "n": [len(s[t["place"]]) for t in take], "members": [s[t["place"]].astype("<u8").tobytes() for t in take]})
 
-    sets = save(blocks.join(by_block, "block").mapInPandas(pick, "name long, n long, members binary"), "members", "none")
+    sets = save(blocks.join(by_block, "block").mapInPandas(tidy(pick), "name long, n long, members binary"), "members", "none")
 
     # First pivots: in each region the set that shares most regions, as the origin of a family of copies does.
     link = F.col("common") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("common"))

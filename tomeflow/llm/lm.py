@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NULL_ID, PART_SCHEMA, at_parts, block_words, join_values, map_blocks, mix, parts_of, read_block, split_values, squeeze_array, squeeze_keys, to_blocks, unsqueeze_array, unsqueeze_keys, with_answers
-from .common import partitions, save
+from .blocks import NULL_ID, PART_SCHEMA, at_parts, block_words, join_values, map_blocks, mix, parts_for, parts_of, read_block, split_values, squeeze_array, squeeze_keys, to_blocks, unsqueeze_array, unsqueeze_keys, with_answers
+from .common import save
 
 END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A2700000000001)
 BUCKETS = 20
@@ -81,7 +81,7 @@ def _count(x: pd.DataFrame) -> pd.DataFrame:
         keys = [unsqueeze_keys(s[k]) for s in sent]
         n = [unsqueeze_array(s[k + 1], "<u4") for s in sent]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(n), minlength=len(distinct)).astype("<u4" if name == "bi" else "<u8")
+        total = np.bincount(at, weights=np.concatenate(n), minlength=len(distinct)).astype("<u8")
         stats[name] = [int((total > 0).sum()), int(total.sum())]
         answers.append(np.split(total[at], np.cumsum([len(i) for i in keys])[:-1]))
     rows = [(b, p, join_values(squeeze_array(u), squeeze_array(v))) for b, p, u, v in zip(x["block"], x["part"], *answers, strict=True)]
@@ -93,7 +93,7 @@ def _answered(t: Tokens, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndar
     """For each token: counts of its bigram, of its context and of itself."""
     got = [split_values(answers[p]) for p in sorted(answers)]
     uni = np.concatenate([unsqueeze_array(g[0], "<u8") for g in got]).astype(np.float64)
-    bi = np.concatenate([unsqueeze_array(g[1], "<u4") for g in got]).astype(np.float64)
+    bi = np.concatenate([unsqueeze_array(g[1], "<u8") for g in got]).astype(np.float64)
     c1 = uni[t.at_uni]
     context = np.empty_like(c1)
     context[1:] = c1[:-1]
@@ -161,9 +161,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     repeated rows count and are scored one by one; a null doc_id counts as training; other columns are left
     out; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
     blocks = to_blocks(docs)
+    parts = parts_for(blocks)
     sent = map_blocks(blocks, _send(parts), PART_SCHEMA)
     answers = save(at_parts(sent, _count, PART_SCHEMA), "counts", "none")
     stats = [json.loads(bytes(r.payload)) for r in answers.where("block = -1").select("payload").collect()]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Phrases of boilerplate lines (lower case).
 BOILERPLATE = (
     "all rights reserved",
@@ -62,8 +64,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     df = df.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
     at = lambda i, k: F.get(F.col("__h"), i + k)
     windows = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), lambda i: F.xxhash64(*[at(i, k) for k in range(5)]))
-    df = df.withColumn("__w", F.when(F.col("n_words") >= 10, windows))  # two equal windows may overlap
-    df = df.withColumn("__w", F.when((F.col("n_words") >= 6) & F.col("__w").isNull(), windows).otherwise(F.col("__w")))
+    df = df.withColumn("__w", F.when(F.col("n_words") >= 6, windows))  # two equal windows may overlap
     # Most texts repeat nothing, which a set of longs tells; only the others sort their windows.
     df = df.withColumn("__s", F.when(F.size(F.array_distinct("__w")) < F.size("__w"), F.array_sort(F.transform("__w", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = lambda x, k: F.get(F.col("__s"), k)["h"] == x["h"]
@@ -78,10 +79,11 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the base measures, cleaned_text (lines that stay), lost_chars, base_failed and kept.
 
     A null or empty text has no words and fails the base rules. Blank lines are neither judged nor lost.
-    Repeated rows are judged alike; columns of df are kept, unless they have the names given here.
+    Repeated rows are judged alike; columns of df are kept, whatever they are called, unless they have the names
+    given here.
     """
     cols = df.columns
-    x = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    x = packed(df).withColumn("__t", F.coalesce(F.col("__r").getField(text), F.lit("")))
     x = x.withColumn("__words", _words(F.col("__t"))).withColumn("n_words", F.size("__words").cast("long"))
     x = _repeat_words(x).drop("__words")
     x = x.withColumn("word_chars", F.length(F.translate("__t", " \t\n\x0b\x0c\r", "")).cast("long"))
@@ -93,8 +95,8 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     x = x.withColumn("__all", chars("__lines")).withColumn("lost_chars", (F.col("__all") - chars("__kept")).cast("long"))
     x = x.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     x = x.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("__all")))
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept"]
-    return x.select(*[c for c in cols if c not in new], *new, F.array_join("__kept", "\n").alias("cleaned_text"))
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "cleaned_text"]
+    return unpacked(x.withColumn("cleaned_text", F.array_join("__kept", "\n")), cols, new)
 
 
 def removed_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_hash
+
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 
@@ -67,21 +69,23 @@ def shard_rows(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, slack:
     """df with shard int and slot long (gapless from 0 in each shard).
 
     slack 0 bounds loads at the mean, so that counts are at most one apart; more slack moves fewer rows
-    when shards come or go. Null keys share one cell; rows with equal keys are spread by rank as others
-    are; an empty table gives an empty result; other columns are kept, whatever they are called.
+    when shards come or go. Rows with null keys are dealt by a hash of the whole row; rows with equal keys are
+    ordered by such a hash and spread by rank as others are; an empty table gives an empty result; other columns
+    are kept, whatever they are called, but for shard and slot, which are replaced.
     """
     spark = df.sparkSession
-    cell = F.pmod(F.xxhash64(F.lit("ring"), F.col(key)), F.lit(CELLS)).cast("int")
-    x = df.withColumn("__cell", cell)
+    spot = F.when(F.col(key).isNull(), F.col("__all")).otherwise(F.xxhash64(F.lit("ring"), F.col(key)))
+    x = df.select(*[F.col(c) if c == key else F.col(c).alias(f"__r{i}") for i, c in enumerate(df.columns)], row_hash(df).alias("__all"))
+    x = x.withColumn("__cell", F.pmod(spot, F.lit(CELLS)).cast("int"))
     got = x.groupBy("__cell").agg(F.count("*").alias("n")).toArrow().to_pydict()
     plan = place_cells(dict(zip(got["__cell"], got["n"], strict=True)), n_shards, vnodes, slack)
     plan = pd.DataFrame(plan or [(0, 0, 0, 0, 0)], columns=["__c", "__from", "__to", "__shard", "__slot"])
     segments = F.broadcast(spark.createDataFrame(plan))  # CELLS + n_shards rows at most, whatever the input
-    w = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit("rank"), F.col(key)), F.col(key))
+    w = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit("rank"), F.col(key)), F.col(key), "__all")
     x = x.withColumn("__rank", F.row_number().over(w) - 1)
     on = (F.col("__cell") == F.col("__c")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     return x.join(segments, on).select(
-        *df.columns,
+        *[F.col(c if c == key else f"__r{i}").alias(c) for i, c in enumerate(df.columns) if c not in ("shard", "slot")],
         F.col("__shard").cast("int").alias("shard"),
         (F.col("__slot") + F.col("__rank") - F.col("__from")).cast("long").alias("slot"),
     )

@@ -12,16 +12,17 @@ shipped only around the others. Within a block, anchors with equal surroundings
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, RangeHash, at_parts, join_values, map_blocks, mix, parts_of, read_block, split_values, squeeze, squeeze_array, squeeze_keys, to_blocks, unsqueeze, unsqueeze_array, unsqueeze_keys, with_answers
-from .common import partitions, save
+from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, RangeHash, at_parts, join_values, map_blocks, mix, parts_for, parts_of, read_block, split_values, squeeze, squeeze_array, squeeze_keys, to_blocks, unsqueeze, unsqueeze_array, unsqueeze_keys, with_answers
+from .common import save
 from .suffixsort import deep_shallow
 
 GRAM = 32
@@ -222,14 +223,15 @@ def _mark(length: int, parts: int):
 
 
 def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of documents (doc_id, text); kept: the bytes that remain.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, md5) of documents (doc_id, text); kept: the bytes that remain,
+    md5: of the whole text.
 
     A byte goes if any string of `length` bytes over it also starts earlier (smaller doc_id, or before it in
     the same document). Null texts are empty. Rows of one doc_id are taken in the order of the table; a null
     doc_id comes first. Other columns are left out; an empty table gives an empty result.
     """
-    parts = partitions(docs.sparkSession)
     blocks = to_blocks(docs, block_bytes=BLOCK_BYTES)
+    parts = parts_for(blocks)
     grams = at_parts(map_blocks(blocks, _send_grams(length, parts), PART_SCHEMA), _grams_of_more_blocks, PART_SCHEMA)
     grams = save(grams, "grams", "none")
     sent = with_answers(blocks, grams, _send_surroundings(length, parts), PART_SCHEMA)
@@ -245,10 +247,10 @@ def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
             g = gone[s:e]
             n = int(g.sum())
             spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if n else 0
-            rows.append((i, e - s, n, spans, a.buf[s:e][~g].tobytes() if n else a.buf[s:e].tobytes()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((i, e - s, n, spans, a.buf[s:e][~g].tobytes() if n else a.buf[s:e].tobytes(), hashlib.md5(a.buf[s:e]).hexdigest()))
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "md5"])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, md5 string"
     out = with_answers(blocks, both, cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
@@ -260,8 +262,17 @@ def _as_text(kept: pd.Series) -> pd.Series:
 
 
 def drop_repeated_text(docs: DataFrame, length: int = 100) -> DataFrame:
-    """documents (doc_id, text, lang, source, n_chars) with repeated text cut out; rows of which nothing is left go."""
-    cut = dedup_texts(docs, length).where("n_removed < n_bytes or n_bytes = 0").select(F.col("doc_id").alias("__id"), _as_text("kept").alias("__text"))
-    rest = docs.drop("text").dropDuplicates(["doc_id"])
-    out = cut.join(rest, F.col("__id").eqNullSafe(F.col("doc_id"))).withColumn("text", F.col("__text"))
+    """documents (doc_id, text, lang, source, n_chars) with repeated text cut out; rows of which nothing is left go.
+
+    Rows meet their cut text by doc_id and text; of rows with both alike, the first in order of the other columns
+    is the one that keeps its text. Where a cut falls inside a character, the character goes whole. Empty and null
+    texts stay, as empty texts.
+    """
+    alike = Window.partitionBy("__id", "__md5")
+    cut = dedup_texts(docs, length).where("n_removed < n_bytes or n_bytes = 0")
+    cut = cut.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("md5").alias("__md5"), _as_text("kept").alias("__text"), "n_removed")
+    cut = cut.withColumn("__k", F.row_number().over(alike.orderBy("n_removed", "__text")))
+    rest = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("__md5", F.md5(F.coalesce("text", F.lit("")))).drop("text")
+    rest = rest.withColumn("__k", F.row_number().over(alike.orderBy("lang", "source", "n_chars")))
+    out = rest.join(cut, ["__id", "__md5", "__k"]).withColumn("text", F.col("__text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

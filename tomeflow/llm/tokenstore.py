@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .blocks import NULL_ID
+from .common import bound_batches, new_path, partitions, tidy
 from .tokens import encoder, default_tokenizer, groups
 
 MAGIC, VERSION = b"DACT", 1
@@ -106,7 +107,8 @@ class Segment:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode documents (doc_id, text) and write them to path in ascending doc_id order.
 
-    A null text counts as empty; rows with equal ids follow each other; an empty table makes an empty store.
+    A null text counts as empty; a null doc_id is kept as NULL_ID and so comes first; rows with equal ids follow
+    each other; an empty table makes an empty store.
     """
     name, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
 
@@ -129,9 +131,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if keys:
             yield pd.DataFrame({"part": [part], "seq": [seq], "tokens": [n], "payload": [write_segment(keys, rows, before)]})
 
-    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+    bound_batches(docs.sparkSession)
     src = src.repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k")
-    segments = src.mapInPandas(run, "part int, seq int, tokens long, payload binary")
+    segments = src.mapInPandas(tidy(run), "part int, seq int, tokens long, payload binary")
     segments.write.option("compression", "none").parquet(path)
 
 
@@ -152,7 +155,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 rows = [ids[4 * a : 4 * b] for a, b in zip(begin.tolist(), s.ends.tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": s.doc_ids, "start": begin + s.before + starts[part], "n_tokens": s.ends - begin, "ids": rows})
 
-    return store.select("part", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    out = store.select("part", "payload").mapInPandas(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def store_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_fold, discard, save
+from .common import bound_batches, crc_fold, discard, free_memory, save, tidy
 
 #: Bounds of the sample of labelled rows that lexicon and weights are fitted on, by label.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
@@ -33,6 +34,8 @@ WINDOW = 6
 KINDS = ("exact", "stem", "fuzzy")
 CONTEXTS = ("plain", "quoted")
 MOST_COUNT = 3
+#: Words whose match a worker keeps; characters of a text that are parted into words together.
+MOST_KNOWN, STRETCH = 100_000, 1_000_000
 #: Signs of quotation or report in a window.
 QUOTES = "\"“”„«»‹›"
 REPORT = frozenset("said says called quote quoted quoting word term slur insult sagte nannte wort zitat dit appelle mot dijo llama palabra".split())
@@ -44,9 +47,12 @@ def normal(word: str) -> str:
 
 
 class LexiconAutomaton:
-    """match(word): the kind of its best match with the lexicon (0 exact, 1 stem, 2 one error), or -1."""
+    """match(word): the kind of its best match with the lexicon (0 exact, 1 stem, 2 one error), or -1.
 
-    MOST_STATES = 100_000
+    A state is kept as a sorted array of 2 * node + errors left; states are made anew when there are too many.
+    """
+
+    MOST_STATES = 40_000
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.next: list[dict[str, int]] = [{}]
@@ -66,31 +72,33 @@ class LexiconAutomaton:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self.states: dict[bytes, int] = {}
+        self.sets: list[bytes] = []
         self.steps: list[dict[str, int]] = []
         self.kind: list[int] = []
         self.start = self._state(self._close({(0, 1)}))
 
-    def _close(self, at: set) -> frozenset:
+    def _close(self, at: set) -> set:
         """at with what a character missing from the word leads to; without what is reached with fewer errors."""
         for node, left in list(at):
             if left:
                 at.update((n, left - 1) for n in self.next[node].values())
-        return frozenset((n, e) for n, e in at if e == 1 or (n, 1) not in at)
+        return {(n, e) for n, e in at if e == 1 or (n, 1) not in at}
 
-    def _state(self, s: frozenset) -> int:
-        if s not in self.states:
-            self.states[s] = len(self.sets)
-            self.sets.append(s)
+    def _state(self, s: set) -> int:
+        name = array("i", sorted(2 * n + e for n, e in s)).tobytes()
+        if name not in self.states:
+            self.states[name] = len(self.sets)
+            self.sets.append(name)
             self.steps.append({})
             exact = any(e == 1 and n in self.term for n, e in s)
             self.kind.append(0 if exact else 2 if any(n in self.fuzzy for n, e in s) else -1)
-        return self.states[s]
+        return self.states[name]
 
     def _step(self, state: int, c: str) -> int:
         at = set()
-        for node, left in self.sets[state]:
+        for x in array("i", self.sets[state]):
+            node, left = x >> 1, x & 1
             if (n := self.next[node].get(c)) is not None:
                 at.add((n, left))
             if left:
@@ -127,26 +135,44 @@ class Model:
     weights: list[float]
 
 
+def _stretches(text: str) -> Iterator[tuple[list[str], int, int]]:
+    """Words of a text in stretches of bounded length, with WINDOW words of their neighbours: (words, begin, end)."""
+    if len(text) <= STRETCH:
+        words = text.split()
+        yield words, 0, len(words)
+        return
+    before: list[str] = []
+    begin, now = 0, []
+    while begin < len(text) or now:
+        end = begin + STRETCH
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        new = text[begin:end].split()
+        if now:
+            yield before + now + new[:WINDOW], len(before), len(before) + len(now)
+            before = (before + now)[-WINDOW:]
+        begin, now = end, new
+
+
 def features(text: str, automaton: LexiconAutomaton, known: dict[str, int]) -> list[int]:
     """Matches by kind and context, each counted up to MOST_COUNT."""
-    words = text.split()
-    hits = []
-    for i, w in enumerate(words):
-        k = known.get(w)
-        if k is None:
-            if len(known) > 500_000:
-                known.clear()
-            k = known[w] = automaton.match(normal(w))
-        if k >= 0:
-            hits.append((i, k))
     out = [0] * (len(KINDS) * len(CONTEXTS))
-    for i, k in hits:
-        window = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        opened = any(q in w for w in words[max(0, i - WINDOW) : i + 1] for q in QUOTES)
-        closed = any(q in w for w in words[i : i + WINDOW + 1] for q in QUOTES)
-        quoted = (opened and closed) or any(normal(w) in REPORT for w in window)
-        j = 2 * k + quoted
-        out[j] = min(MOST_COUNT, out[j] + 1)
+    for words, begin, end in _stretches(text):
+        for i in range(begin, end):
+            w = words[i]
+            k = known.get(w)
+            if k is None:
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+                k = known[w] = automaton.match(normal(w))
+            if k < 0:
+                continue
+            window = words[max(0, i - WINDOW) : i + WINDOW + 1]
+            opened = any(q in x for x in words[max(0, i - WINDOW) : i + 1] for q in QUOTES)
+            closed = any(q in x for x in words[i : i + WINDOW + 1] for q in QUOTES)
+            quoted = (opened and closed) or any(normal(x) in REPORT for x in window)
+            j = 2 * k + quoted
+            out[j] = min(MOST_COUNT, out[j] + 1)
     return out
 
 
@@ -183,9 +209,12 @@ def _counts(sample: DataFrame, only: frozenset | None, least: int) -> dict[str,
             for t in f["text"]:
                 c = _candidates(t)
                 n.update(c if only is None else c & only)
+                if len(n) > MOST_KNOWN:  # counts are summed after the exchange, so they may leave in parts
+                    yield pd.DataFrame({"term": list(n.keys()), "n": list(n.values())})
+                    n.clear()
             yield pd.DataFrame({"term": list(n.keys()), "n": list(n.values())})
 
-    rows = sample.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = sample.select("text").mapInPandas(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     got = rows.where(F.col("n") >= least).toArrow().to_pydict()
     return dict(zip(got["term"], got["n"], strict=True))
 
@@ -213,7 +242,7 @@ def _support(sample: DataFrame, only: frozenset) -> dict[str, int]:
             yield pd.DataFrame(rows, columns=["term", "c0", "c1", "c2", "c3"], dtype=object)
 
     at = ["c0", "c1", "c2", "c3"]
-    rows = sample.select("text").mapInPandas(run, "term string, c0 string, c1 string, c2 string, c3 string").groupBy("term", *at).agg(F.count("*").alias("n"))
+    rows = sample.select("text").mapInPandas(tidy(run), "term string, c0 string, c1 string, c2 string, c3 string").groupBy("term", *at).agg(F.count("*").alias("n"))
     most = rows.groupBy("term").agg(F.max_by(F.struct(*at), F.struct("n", *at)).alias("m"))
     same = sum((F.col(c) == F.col(f"m.{c}")).cast("int") for c in at)
     other = rows.join(most, "term").where(same <= 1).groupBy("term").agg(F.count("*").alias("k"))
@@ -287,7 +316,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         for f in frames:
             yield pd.DataFrame({"x": [features(t, automaton, known) for t in f["text"]], "y": f["y"]})
 
-    cells = sample.where("fit = 1").select("text", "y").mapInPandas(run, "x array<int>, y int").groupBy("x", "y").count().collect()
+    cells = sample.where("fit = 1").select("text", "y").mapInPandas(tidy(run), "x array<int>, y int").groupBy("x", "y").count().collect()
     discard(sample)
     bias, weights = _fit_weights(sorted((list(r.x), r.y, r["count"]) for r in cells))
     return Model(terms, stems, bias, weights)
@@ -307,6 +336,7 @@ def score_column(model: Model):
                     done[x] = 1 / (1 + math.exp(-model.bias - sum(a * b for a, b in zip(model.weights, x, strict=True))))
                 out.append(done[x])
             yield pd.Series(out, dtype="float64")
+        free_memory()
 
     return run
 
