@@ -46,4 +46,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"links still change after {MOST_ROUNDS} rounds")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,16 +1,18 @@
 """Exact Jaccard join of word-shingle sets as a metric-space join, with the classes that its links form.
 
-Distances to pivots that are whole documents say nothing here: nearly all documents are at distance 1 of
-nearly all others, so every one would lie in every window. The first cut is therefore made in subspaces. The
-shingle space is split by hash into more parts than two linked sets can differ in, so linked sets agree on
-some part; the restriction of a set to a part is a pivot at distance 0 of all that agree with it, and those
-form a Voronoi region of that subspace. Sets lie in a region for each part, and in the regions of the next
-size class as well where the window that Jaccard distance leaves for sizes reaches it.
-
-Within regions, whole documents are pivots: distances to a pivot give links at once, and by the triangle
-inequality two sets link only if their distances to it differ by no more than the radius. What windows leave
-open is joined in turn: small regions by their open pairs, large ones after being split again by another
-hash. Sets already in one class need no comparison.
+Jaccard distance is a metric. Pivots are sets sampled from all distinct ones; each set lies in the Voronoi
+region of its nearest pivot p1 and, as a boundary set, in the region of every pivot p whose distance is no more
+than d(x, p1) + 2 * radius: by the triangle inequality two linked sets then meet in the nearest region of one of
+them. That holds while d(x, p1) < 1 - 2 * radius; nearer than 1 - 3 * radius to its pivot, a set needs no other
+region. Most documents of a corpus, though, are at distance 1 of nearly all others, and pivots can't part those:
+they would lie in every window. For them alone a filter stands in front. The shingle space is split by hash into
+more parts than two linked sets can differ in, so linked sets agree on some part, which is a region of the sets
+at distance 0 in that part; the member that shares most regions becomes its pivot.
+
+Regions join recursively. Distances to the pivot give links at once, and two sets link only if their distances to
+it differ by no more than the radius. What windows leave open is joined in turn: small regions by their open
+pairs, larger ones around further pivots, those beyond GROUP after being split again, and what can't be split in
+pieces that meet two by two. Sets already in one class need no comparison.
 """
 
 from __future__ import annotations
@@ -24,13 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, at_parts, block_words, join_values, map_blocks, mix, parts_for, parts_of, read_block, split_values, squeeze_array, squeeze_keys, to_blocks, unsqueeze_array, unsqueeze_keys
-from .common import free_memory, save, tidy
+from .common import discard, free_memory, save, tidy
 from .components import components
 
-#: Open pairs of regions of up to LEAF sets are compared one by one, those of regions of up to GROUP sets in
-#: one task each, around further pivots; larger regions are split again, MOST_LEVELS times.
-LEAF, GROUP = 64, 2048
+#: Sampled pivots, and the shingles that one may have: both bound what every task holds of them.
+PIVOTS, PIVOT_SHINGLES = 256, 4096
+#: Open pairs of regions of up to LEAF sets are compared one by one, those of regions of up to GROUP sets (and
+#: GROUP_SHINGLES shingles) in one task each, around further pivots; larger regions are split again up to
+#: MOST_LEVELS times, and then cut into pieces that meet two by two.
+LEAF, GROUP, GROUP_SHINGLES = 64, 2048, 4_000_000
 MOST_LEVELS = 3
+#: Keeps rounding from putting a set outside a window.
+SLACK = 1e-6
 
 
 def size_class_bounds(num: int, den: int, most: int) -> np.ndarray:
@@ -97,53 +104,113 @@ class Sets:
                 self.sets.append(np.zeros(0, np.uint64))
 
 
-def _name(s: np.ndarray) -> int:
-    """128 bits would do; 63 name a set beside its size."""
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set beside its size."""
     with np.errstate(over="ignore"):
-        return int(mix(np.sum(mix(s), dtype=np.uint64).reshape(1) + np.uint64(len(s)))[0] >> np.uint64(1)) if len(s) else -1
+        sums = [np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64).reshape(1) for salt in (0, 0xA5A5A5A55A5A5A5A)]
+    return tuple(int(mix(x).view(np.int64)[0]) for x in sums)
 
 
 def _describe(words: int):
     def run(block: int, payload: bytes) -> Iterator[pd.DataFrame]:
         s = Sets(payload, words)
-        yield pd.DataFrame({"uid": block * BLOCK_DOCS + np.arange(len(s.ids)), "doc_id": s.ids, "n": [len(x) for x in s.sets], "name": [_name(x) for x in s.sets]})
+        names = [_name(x) for x in s.sets]
+        yield pd.DataFrame({"uid": block * BLOCK_DOCS + np.arange(len(s.ids)), "doc_id": s.ids, "n": [len(x) for x in s.sets], "h1": [n[0] for n in names], "h2": [n[1] for n in names]})
 
     return run
 
 
-def _send(words: int, num: int, den: int, parts: int):
-    """Region keys of a block's distinct sets, with the place of each set in the block."""
+class Pivots:
+    """Distances of sets to the sampled pivots, by a sorted list of all their shingles."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.size = ids, np.array([len(x) for x in sets], np.int64)
+        shingles = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.whose = shingles[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def near(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, pivot, common shingles) where they have any."""
+        n = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        low = np.searchsorted(self.shingles, flat)
+        found = np.flatnonzero(self.shingles[np.minimum(low, max(len(self.shingles) - 1, 0))] == flat) if len(self.shingles) else np.zeros(0, np.int64)
+        low = low[found]
+        times = np.searchsorted(self.shingles, flat[found], side="right") - low
+        of = np.repeat(np.repeat(np.arange(len(sets)), n)[found], times)
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        cell, common = np.unique(of * max(len(self.ids), 1) + self.whose[at], return_counts=True)
+        return cell // max(len(self.ids), 1), cell % max(len(self.ids), 1), common
+
+    def regions(self, sets: list[np.ndarray], num: int, den: int) -> tuple[pd.DataFrame, np.ndarray]:
+        """(rows of set, pivot, near, link of the regions that sets lie in; which sets pivots don't part)."""
+        i, p, common = self.near(sets)
+        n = np.array([len(x) for x in sets], np.int64)
+        union = n[i] + self.size[p] - common
+        d, radius = 1 - common / np.maximum(union, 1), 1 - num / den
+        least = np.ones(len(sets))
+        np.minimum.at(least, i, d)
+        inside = (least[i] < 1 - 2 * radius - SLACK) & (d <= least[i] + 2 * radius + SLACK)
+        rows = pd.DataFrame({"set": i, "pivot": p, "near": d, "link": den * common >= num * union})[inside]
+        return rows, least >= 1 - 3 * radius - 2 * SLACK
+
+
+def _cells(words: int, num: int, den: int, pivots: Pivots):
+    """Regions of the pivots that a block's distinct sets lie in."""
 
-    def run(block: int, payload: bytes) -> Iterator[pd.DataFrame]:
-        s, seen, keys, place = Sets(payload, words), set(), [], []
-        for i, x in enumerate(s.sets):
-            if len(x) and (name := _name(x)) not in seen:
-                seen.add(name)
-                k = set_signatures(x, num, den)
-                keys.append(k)
-                place.append(np.full(len(k), i, "<u4"))
-        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-        place = np.concatenate([np.zeros(0, "<u4"), *place]).astype("<u4")
-        order = np.argsort(keys)
-        keys, place = keys[order], place[order]
-        cuts = parts_of(keys, parts)
-        rows = []
-        for p in range(parts):
-            c = slice(cuts[p], cuts[p + 1])
-            rows.append((block, p, join_values(squeeze_keys(keys[c]), squeeze_array(place[c]))))
-        yield pd.DataFrame(rows, columns=["block", "part", "payload"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
+                s = Sets(payload, words).sets
+                rows, _ = pivots.regions([s[i] for i in take], num, den)
+                at = np.array(take, np.int64)[rows["set"].to_numpy()]
+                p = rows["pivot"].to_numpy()
+                yield pd.DataFrame({"region": -1 - p, "id": block * BLOCK_DOCS + at, "n": [len(s[i]) for i in at], "pivot": np.array([*pivots.ids, 0], np.int64)[p], "near": rows["near"], "link": rows["link"]})
+
+    return run
+
+
+def _send(words: int, num: int, den: int, parts: int, pivots: Pivots):
+    """Keys of the filter's regions for those distinct sets of a block that pivots don't part, with their places."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
+                s, keys, place = Sets(payload, words).sets, [], []
+                _, rest = pivots.regions([s[i] for i in take], num, den)
+                for i in np.array(take, np.int64)[rest].tolist():
+                    k = set_signatures(s[i], num, den)
+                    keys.append(k)
+                    place.append(np.full(len(k), i, "<u4"))
+                keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+                place = np.concatenate([np.zeros(0, "<u4"), *place]).astype("<u4")
+                order = np.argsort(keys)
+                keys, place = keys[order], place[order]
+                cuts = parts_of(keys, parts)
+                rows = []
+                for p in range(parts):
+                    if cuts[p + 1] > cuts[p]:
+                        c = slice(cuts[p], cuts[p + 1])
+                        rows.append((block, p, join_values(squeeze_keys(keys[c]), squeeze_array(place[c]))))
+                yield pd.DataFrame(rows, columns=["block", "part", "payload"])
 
     return run
 
 
 def _regions(x: pd.DataFrame) -> pd.DataFrame:
-    """(region, uid) of keys that more than one row has."""
+    """(region, members) of keys that more than one set has; regions of the same members are one."""
     sent = [split_values(p) for p in x["payload"]]
-    keys = [unsqueeze_keys(s[0]) for s in sent]
-    uid = [unsqueeze_array(s[1], "<u4").astype(np.int64) + b * BLOCK_DOCS for s, b in zip(sent, x["block"], strict=True)]
-    _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    more = n[at] > 1
-    return pd.DataFrame({"region": np.concatenate(keys)[more].view(np.int64), "uid": np.concatenate(uid)[more]})
+    keys = np.concatenate([unsqueeze_keys(s[0]) for s in sent])
+    ids = np.concatenate([unsqueeze_array(s[1], "<u4").astype(np.int64) + b * BLOCK_DOCS for s, b in zip(sent, x["block"], strict=True)])
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(begin, append=len(keys))
+    begin, size = begin[size > 1], size[size > 1]
+    out: dict[bytes, int] = {}
+    for a, n in zip(begin.tolist(), size.tolist(), strict=True):
+        out.setdefault(ids[a : a + n].tobytes(), int(keys[a : a + 1].view(np.int64)[0]) & (1 << 62) - 1)
+    return pd.DataFrame({"region": list(out.values()), "members": [np.frombuffer(m, np.int64) for m in out]})
 
 
 @F.pandas_udf(T.LongType())
@@ -153,9 +220,9 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) of pairs of names."""
-    left = sets.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    right = sets.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+    """(a, b, na, nb, common) of pairs of sets."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", _common("ma", "mb").alias("common"))
 
 
@@ -192,7 +259,8 @@ def join_region(names: list[int], sets: list[np.ndarray], roots: list[int], near
 def _join_regions(num: int, den: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(m, "<u8") for m in x["members"]]
-        links = join_region(x["name"].tolist(), sets, x["root"].tolist(), x["near"].tolist(), num, den)
+        links = join_region(x["id"].tolist(), sets, x["root"].tolist(), x["near"].tolist(), num, den)
+        free_memory()
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -201,14 +269,22 @@ def _join_regions(num: int, den: int):
 def _split_again(num: int, den: int, family: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, members, regions in zip(f["name"], f["members"], f["regions"], strict=True):
+            for name, members, regions in zip(f["id"], f["members"], f["regions"], strict=True):
                 own = set_signatures(np.frombuffer(members, "<u8"), num, den, family)
                 for r in regions:
-                    yield pd.DataFrame({"region": mix(own ^ np.uint64(int(r) & (1 << 64) - 1)).view(np.int64), "name": name})
+                    yield pd.DataFrame({"region": mix(own ^ np.uint64(int(r) & (1 << 64) - 1)).view(np.int64), "id": name})
 
     return run
 
 
+def _pieces(x: DataFrame) -> DataFrame:
+    """Rows of regions dealt to tasks of two pieces (i <= j); small regions are one piece."""
+    size = x.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("pieces"))
+    x = x.join(size, "region").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return x.withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other"))
+
+
 def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text).
 
@@ -219,84 +295,101 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
     """
     blocks = to_blocks(docs)
     parts = parts_for(blocks)
-    rows = save(map_blocks(blocks, _describe(words), "uid long, doc_id long, n long, name long"), "sets")
-    sent = map_blocks(blocks, _send(words, num, den, parts), PART_SCHEMA)
-    found = at_parts(sent, _regions, "region long, uid long")
-    regions = found.join(rows.select("uid", "name", "n"), "uid").select("region", "name", "n").distinct()
-    several = regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
-    regions = save(regions.join(several, "region"), "regions")
-
-    # The sets to compare, each from the first row that has it.
-    wanted = regions.select("name").distinct()
-    first = rows.join(wanted, "name").groupBy("name").agg(F.min("uid").alias("uid"))
-    by_block = first.select(F.shiftright("uid", 20).alias("block"), (F.col("uid") % BLOCK_DOCS).cast("int").alias("place"), "name")
-    by_block = by_block.groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("take"))  # rows of a block at most
+    rows = save(map_blocks(blocks, _describe(words), "uid long, doc_id long, n long, h1 long, h2 long"), "sets")
+    # Equal sets are one, called by its first row.
+    name = ["n", "h1", "h2"]
+    one = save(rows.where("n > 0").groupBy(*name).agg(F.min("uid").alias("id"), F.min("doc_id").alias("least")), "distinct")
+
+    def in_blocks(ids: DataFrame) -> DataFrame:
+        """blocks with the places of some sets; a block's rows bound the list."""
+        at = ids.select(F.shiftright("id", 20).alias("block"), (F.col("id") % BLOCK_DOCS).cast("int").alias("place"))
+        return blocks.join(at.groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("take")), "block")
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for payload, take in zip(f["payload"], f["take"], strict=True):
+            for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
                 s = Sets(payload, words).sets
-                yield pd.DataFrame({"name": [t["name"] for t in take], "n": [len(s[t["place"]]) for t in take], "members": [s[t["place"]].astype("<u8").tobytes() for t in take]})
-
-    sets = save(blocks.join(by_block, "block").mapInPandas(tidy(pick), "name long, n long, members binary"), "members", "none")
-
-    # First pivots: in each region the set that shares most regions, as the origin of a family of copies does.
+                yield pd.DataFrame({"id": [block * BLOCK_DOCS + int(i) for i in take], "n": [len(s[i]) for i in take], "members": [s[i].astype("<u8").tobytes() for i in take]})
+
+    def members(ids: DataFrame) -> DataFrame:
+        return in_blocks(ids).mapInPandas(tidy(pick), "id long, n long, members binary")
+
+    sample = one.where(F.col("n") <= PIVOT_SHINGLES).orderBy("h1", "h2").limit(PIVOTS).select("id")
+    got = members(sample).orderBy("id").toArrow().to_pydict()  # PIVOTS sets of bounded size
+    pivots = Pivots(got["id"], [np.frombuffer(m, "<u8") for m in got["members"]])
+    all_sets = in_blocks(one)
+    cells = save(all_sets.mapInPandas(tidy(_cells(words, num, den, pivots)), "region long, id long, n long, pivot long, near double, link boolean"), "cells")
+    sent = all_sets.mapInPandas(tidy(_send(words, num, den, parts, pivots)), PART_SCHEMA)
+    found = at_parts(sent, _regions, "region long, members array<long>")
+    found = save(found.groupBy(F.xxhash64("members").alias("h"), F.hash("members").alias("h2"), F.size("members").alias("size")).agg(F.first("members").alias("members"), F.min("region").alias("region")), "found")
+    sets = save(members(found.select(F.explode("members").alias("id")).distinct()), "members", "none")
+
+    # The pivot of a region of the filter: the set that shares most regions, as the origin of a family of copies does.
+    flat = found.select("region", "size", F.explode("members").alias("id"))
+    weight = flat.groupBy("id").agg(F.count("*").alias("weight"))
+    pivot = flat.join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).getField("id").alias("pivot"))
+    regions = save(flat.join(pivot, "region"), "regions")
     link = F.col("common") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("common"))
-    near = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    weight = regions.groupBy("name").agg(F.count("*").alias("weight"))
-    regions = regions.join(weight, "name")
-    pivot = regions.groupBy("region").agg(F.max(F.struct("weight", "name")).getField("name").alias("pivot"))
-    regions = save(regions.join(pivot, "region"), "regions")
-    pairs = regions.where("name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    pairs = regions.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     done = save(_compare(pairs, sets).withColumn("link", link).withColumn("near", near), "distances")
-    links = done.where("link").select("a", "b")
-
-    # What the windows of the first pivots leave open.
+    discard(found)
+    links = done.where("link").select("a", "b").unionByName(cells.where("link and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+
+    # A region of two is done where one is its pivot.
+    at = done.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "near")
+    x = regions.where("size > 2").join(at, ["id", "pivot"], "left").join(one.select("id", "n"), "id")
+    x = x.select("region", "id", "n", "pivot", F.coalesce("near", F.lit(0.0)).alias("near"))
+    x = x.unionByName(cells.select("region", "id", "n", "pivot", "near"))
+    # What the windows of the pivots leave open.
     for level in range(1, MOST_LEVELS + 1):
         roots = components(links)
-        at = done.select(F.col("a").alias("name"), F.col("b").alias("pivot"), "near")
-        x = regions.join(at, ["name", "pivot"], "left").join(roots.withColumnRenamed("node", "name"), "name", "left")
-        x = x.select("region", "name", "n", "pivot", F.coalesce("near", F.lit(1.0)).alias("near"), F.coalesce("root", "name").alias("root"))
-        # A region of two is done where one is its pivot; split regions have none that was measured.
-        open_ = x.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").where(F.col("size") > (2 if level == 1 else 1))
-        x = save(x.join(open_.select("region", "size"), "region"), "open")
+        x = x.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = x.groupBy("region").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        x = save(x.join(open_.select("region", "count", "shingles"), "region"), "open")
+        if level == 1:  # sets of the pivots' open regions, which the filter hasn't asked for
+            more = x.where("region < 0").select("id").distinct().join(sets.select("id"), "id", "left_anti")
+            sets = sets.unionByName(save(members(more), "members", "none"))
         last = level == MOST_LEVELS
-        small = x.where(F.col("size") <= LEAF)
+        small = x.where(F.col("count") <= LEAF)
         l, r = small.alias("l"), small.alias("r")
         rest = l.join(r, F.col("l.region") == F.col("r.region")).where(
-            (F.col("l.name") < F.col("r.name"))
+            (F.col("l.id") < F.col("r.id"))
             & (F.col("l.root") != F.col("r.root"))
-            & (F.col("l.name") != F.col("l.pivot"))
-            & (F.col("r.name") != F.col("r.pivot"))
-            & (F.abs(F.col("l.near") - F.col("r.near")) <= 1 - num / den + 1e-9)
+            & (F.col("l.id") != F.col("l.pivot"))
+            & (F.col("r.id") != F.col("r.pivot"))
+            & (F.abs(F.col("l.near") - F.col("r.near")) <= 1 - num / den + SLACK)
             & (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num)
         )
-        rest = rest.select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct()
+        rest = rest.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
         new = save(_compare(rest, sets).where(link).select("a", "b"), "links")
         links = links.union(new)
         # Regions with the same sets are one.
-        middle = x.where((F.col("size") > LEAF) & (F.lit(last) | (F.col("size") <= GROUP)))
-        alike = middle.groupBy("region").agg(F.bit_xor(F.xxhash64("name")).alias("h"), F.sum(F.xxhash64("name", F.lit(1)) % (1 << 40)).alias("h2"), F.count("*").alias("k"))
+        fits = (F.col("count") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
+        middle = x.where((F.col("count") > LEAF) & (F.lit(last) | fits))
+        alike = middle.groupBy("region").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("h2"), F.count("*").alias("k"))
         alike = alike.groupBy("h", "h2", "k").agg(F.min("region").alias("region")).select("region")
-        middle = middle.join(alike, "region").join(sets.select("name", "members"), "name")
-        links = links.union(save(middle.select("region", "name", "root", "near", "members").groupBy("region").applyInPandas(_join_regions(num, den), "a long, b long"), "links"))
-        large = x.where(F.col("size") > GROUP)
+        middle = _pieces(middle.join(alike, "region")).join(sets.select("id", "members"), "id")
+        joined = middle.select("region", "i", "j", "id", "root", "near", "members").groupBy("region", "i", "j").applyInPandas(_join_regions(num, den), "a long, b long")
+        links = links.union(save(joined, "links"))
+        large = x.where((F.col("count") > LEAF) & ~fits)
         if last or large.isEmpty():
             break
-        mine = large.groupBy("name").agg(F.collect_set("region").alias("regions"))  # as many as a set has parts
-        split = sets.join(mine, "name").mapInPandas(_split_again(num, den, level), "region long, name long").distinct()
+        mine = large.groupBy("id").agg(F.collect_set("region").alias("regions"))  # as many as a set has parts
+        split = sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long").distinct()
         several = split.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
-        split = split.join(several, "region").join(sets.select("name", "n"), "name")
-        # No pivot has been measured in the new regions: the pivot of none leaves windows by size alone.
-        regions = save(split.select("region", "name", "n", F.lit(None).cast("long").alias("pivot")).withColumn("pivot", F.lit(-1).cast("long")), "regions")
-        done = done.where("b = -1")
-
-    roots = components(links).withColumnRenamed("node", "name")
-    classes = rows.where("n > 0").join(roots, "name", "left").select("uid", "doc_id", "n", F.coalesce("root", "name").alias("root"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = classes.join(least, "root").select("doc_id", "n", "least").unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("least")))
+        # No pivot has been measured in the new regions: near is alike for all, which leaves windows by size alone.
+        x = save(split.join(several, "region").join(sets.select("id", "n"), "id").select("region", "id", "n", F.lit(-1).cast("long").alias("pivot"), F.lit(0.0).alias("near")), "regions")
+
+    roots = components(links).withColumnRenamed("node", "id")
+    classes = one.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = classes.groupBy("root").agg(F.min("least").alias("component"))
+    classes = classes.join(least, "root").select(*name, "component")
+    out = rows.where("n > 0").join(classes, name).select("doc_id", "n", "component").unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("least").alias("component_id"))
+    out = save(out.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id")), "classes")
+    discard(blocks, rows, one, cells, regions, done, sets)
+    return out
 
 
 def keep_first_of_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -17,7 +17,7 @@ from .blocks import load_words, mix
 from .common import bound_batches, tidy
 
 #: Pieces kept between calls, and the bytes that a piece may have to be kept.
-CACHE_PIECES, KEY_BYTES = 500_000, 24
+CACHE_PIECES, KEY_BYTES = 300_000, 24
 #: Pieces that are encoded as one text.
 JOINED = 512
 #: Bytes of text that are cut into pieces together; longer texts are cut at white space first.

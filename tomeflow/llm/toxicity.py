@@ -35,7 +35,7 @@ KINDS = ("exact", "stem", "fuzzy")
 CONTEXTS = ("plain", "quoted")
 MOST_COUNT = 3
 #: Words whose match a worker keeps; characters of a text that are parted into words together.
-MOST_KNOWN, STRETCH = 100_000, 1_000_000
+MOST_KNOWN, STRETCH = 200_000, 1_000_000
 #: Signs of quotation or report in a window.
 QUOTES = "\"“”„«»‹›"
 REPORT = frozenset("said says called quote quoted quoting word term slur insult sagte nannte wort zitat dit appelle mot dijo llama palabra".split())
