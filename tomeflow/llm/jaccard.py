@@ -36,6 +36,8 @@ PIVOTS, PIVOT_SHINGLES = 256, 4096
 #: MOST_LEVELS times, and then cut into pieces that meet two by two.
 LEAF, GROUP, GROUP_SHINGLES = 64, 2048, 4_000_000
 MOST_LEVELS = 3
+#: Cells of a set's sketch; ids up to which a list of them is broadcast.
+CELLS, MOST_BROADCAST = 256, 1_000_000
 #: Keeps rounding from putting a set outside a window.
 SLACK = 1e-6
 
@@ -213,17 +215,43 @@ def _regions(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"region": list(out.values()), "members": [np.frombuffer(m, np.int64) for m in out]})
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many members fall into each of CELLS cells; counts of 255 stand for more as well."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype("u1").tobytes()
+
+
+@F.pandas_udf(T.LongType())
+def _bound(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    """Members that two sets share at most: the smaller counts of the cells."""
+    x, y = (np.frombuffer(b"".join(v), "u1").reshape(-1, CELLS) for v in (a, b))
+    full = (x == 255).any(1) | (y == 255).any(1)
+    return pd.Series(np.where(full, np.minimum(na, nb), np.minimum(x, y).sum(1, dtype=np.int64)))
+
+
 @F.pandas_udf(T.LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Members that two sets share."""
     return pd.Series([overlap(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) of pairs of sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", _common("ma", "mb").alias("common"))
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """sets of these ids (a written table), so that no others are shuffled."""
+    few = ids.count() <= MOST_BROADCAST
+    return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Saved (a, b, link, near) of those pairs of sets that may link by what their cells' counts allow."""
+    both = lambda x, d, *cols: x.join(d.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a").join(d.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols]), "b")
+    links = lambda common: F.col(common) * den >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col(common))
+    pairs = both(pairs, sets, "n", "sketch").withColumn("most", _bound("sketch_a", "sketch_b", "n_a", "n_b"))
+    close = save(pairs.where(links("most")).select("a", "b", "n_a", "n_b"), "close")
+    ids = save(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "ids")
+    out = both(close, _only(sets, ids), "members").withColumn("common", _common("members_a", "members_b"))
+    near = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    out = save(out.select("a", "b", links("common").alias("link"), near.alias("near")), "distances")
+    discard(close, ids)
+    return out
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -236,16 +264,16 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 def join_region(names: list[int], sets: list[np.ndarray], roots: list[int], near: list[float], num: int, den: int) -> list[tuple[int, int]]:
     """Links that join all linked sets of a region which are not of one class yet.
 
-    near: distances to a first pivot. Each pivot is measured against what its window leaves, and then done.
+    near: distances to a first pivot, NaN where not measured. Each pivot is measured against what its window leaves, and then done.
     """
     root = np.unique(roots, return_inverse=True)[1]
-    size, near_ = np.array([len(s) for s in sets]), np.array(near)
+    size, near_ = np.array([len(s) for s in sets]), np.array(near, float)
     open_, out = np.ones(len(sets), bool), []
     while (open_ & (root != root[int(np.argmax(open_))])).any():
         main = int(np.argmax(np.bincount(root[open_])))  # the largest class needs no pivots of its own
         p = int(np.flatnonzero(open_ & (root != main))[0])
         open_[p] = False
-        window = open_ & (root != root[p]) & (np.abs(near_ - near_[p]) <= 1 - num / den + 1e-9)
+        window = open_ & (root != root[p]) & ~(np.abs(near_ - near_[p]) > 1 - num / den + SLACK)  # all where one is not known
         window &= np.minimum(size, size[p]) * den >= np.maximum(size, size[p]) * num
         for i in np.flatnonzero(window).tolist():
             if root[i] != root[p]:
@@ -309,10 +337,10 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
         for f in frames:
             for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
                 s = Sets(payload, words).sets
-                yield pd.DataFrame({"id": [block * BLOCK_DOCS + int(i) for i in take], "n": [len(s[i]) for i in take], "members": [s[i].astype("<u8").tobytes() for i in take]})
+                yield pd.DataFrame({"id": [block * BLOCK_DOCS + int(i) for i in take], "n": [len(s[i]) for i in take], "members": [s[i].astype("<u8").tobytes() for i in take], "sketch": [sketch(s[i]) for i in take]})
 
     def members(ids: DataFrame) -> DataFrame:
-        return in_blocks(ids).mapInPandas(tidy(pick), "id long, n long, members binary")
+        return in_blocks(ids).mapInPandas(tidy(pick), "id long, n long, members binary, sketch binary")
 
     sample = one.where(F.col("n") <= PIVOT_SHINGLES).orderBy("h1", "h2").limit(PIVOTS).select("id")
     got = members(sample).orderBy("id").toArrow().to_pydict()  # PIVOTS sets of bounded size
@@ -329,17 +357,15 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
     weight = flat.groupBy("id").agg(F.count("*").alias("weight"))
     pivot = flat.join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).getField("id").alias("pivot"))
     regions = save(flat.join(pivot, "region"), "regions")
-    link = F.col("common") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("common"))
-    near = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     pairs = regions.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    done = save(_compare(pairs, sets).withColumn("link", link).withColumn("near", near), "distances")
+    done = _compare(pairs, sets, num, den)
     discard(found)
     links = done.where("link").select("a", "b").unionByName(cells.where("link and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
     # A region of two is done where one is its pivot.
     at = done.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "near")
     x = regions.where("size > 2").join(at, ["id", "pivot"], "left").join(one.select("id", "n"), "id")
-    x = x.select("region", "id", "n", "pivot", F.coalesce("near", F.lit(0.0)).alias("near"))
+    x = x.select("region", "id", "n", "pivot", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("near")).alias("near"))
     x = x.unionByName(cells.select("region", "id", "n", "pivot", "near"))
     # What the windows of the pivots leave open.
     for level in range(1, MOST_LEVELS + 1):
@@ -358,18 +384,19 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
             & (F.col("l.root") != F.col("r.root"))
             & (F.col("l.id") != F.col("l.pivot"))
             & (F.col("r.id") != F.col("r.pivot"))
-            & (F.abs(F.col("l.near") - F.col("r.near")) <= 1 - num / den + SLACK)
+            & F.coalesce(F.abs(F.col("l.near") - F.col("r.near")) <= 1 - num / den + SLACK, F.lit(True))
             & (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num)
         )
         rest = rest.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-        new = save(_compare(rest, sets).where(link).select("a", "b"), "links")
-        links = links.union(new)
+        links = links.union(_compare(rest, sets, num, den).where("link").select("a", "b"))
         # Regions with the same sets are one.
         fits = (F.col("count") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
         middle = x.where((F.col("count") > LEAF) & (F.lit(last) | fits))
         alike = middle.groupBy("region").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("h2"), F.count("*").alias("k"))
         alike = alike.groupBy("h", "h2", "k").agg(F.min("region").alias("region")).select("region")
-        middle = _pieces(middle.join(alike, "region")).join(sets.select("id", "members"), "id")
+        middle = save(_pieces(middle.join(alike, "region")), "middle")
+        ids = save(middle.select("id").distinct(), "ids")
+        middle = middle.join(_only(sets, ids).select("id", "members"), "id")
         joined = middle.select("region", "i", "j", "id", "root", "near", "members").groupBy("region", "i", "j").applyInPandas(_join_regions(num, den), "a long, b long")
         links = links.union(save(joined, "links"))
         large = x.where((F.col("count") > LEAF) & ~fits)
