@@ -94,7 +94,7 @@ def test_suffix_dedup_odd_rows(spark):
 @pytest.mark.parametrize("which", ["made", "sf"])
 def test_jaccard(spark, words, num, den, which, monkeypatch):
     if which == "made":  # small regions, so that each way of joining them is taken
-        for name, value in (("LEAF", 2), ("GROUP", 5), ("MOST_LEVELS", 2)):
+        for name, value in (("LEAF", 2), ("GROUP", 5), ("MOST_LEVELS", 2), ("PIVOTS", 4 if words == 3 else 256)):
             monkeypatch.setattr(jaccard, name, value)
     rows = made_texts() if which == "made" else documents()
     got = jaccard.jaccard_join(frame(spark, rows).repartition(3), words, num, den)

@@ -59,3 +59,10 @@ def test_odd_vectors(spark):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, shard string")
     check(embedding.near_vectors(frame).toPandas(), brute(rows), 1.0)
     assert embedding.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_null_ids_and_extreme_vectors(spark):
+    rows = [(None, [1e200, 1e200], 1), (3, [1e200, 1.01e200], 1), (4, [1e-200, 1e-200], 1), (None, [1.0, -1.0], 1), (None, None, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding.near_vectors(frame).collect()))
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 2, 0, True), (3, 2, 0, False), (4, 2, 0, False)]

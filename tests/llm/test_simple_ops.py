@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from brute import fold, quality
 
 from tomeflow.llm import mixing, packing, quality as quality_op, queries, sharding, tokens, tokenstore, toxicity
@@ -218,3 +219,37 @@ def test_weights_converge_where_labels_part():
     bias, weights = toxicity._fit_weights([([0, 0, 0, 0, 0, 0], 0, 14000), ([3, 0, 0, 0, 0, 0], 1, 1500), ([1, 0, 0, 0, 1, 0], 1, 200), ([0, 0, 0, 0, 1, 0], 0, 50)])
     assert -100 < bias < 0 and all(abs(w) < 100 for w in weights)
     assert bias + 3 * weights[0] > 0 and bias + weights[0] + weights[4] > 0 > bias + weights[4]
+
+
+def test_any_extra_columns(spark):
+    """Columns of the input with names that the operators use stay what they are."""
+    names = ["__r", "__cell", "__rank", "__no", "__t", "__words", "target", "__h", "__all"]
+    x = spark.createDataFrame([(i, f"w{i} b c. d" * 5, i % 3, *[100 * i + k for k in range(len(names))]) for i in range(20)], ["doc_id", "text", "n", *names])
+    before = {r.doc_id: r for r in x.collect()}
+    for out in (sharding.shard_rows(x, "doc_id", 3), quality_op.clean_lines(x), mixing.mix(x.withColumn("source", F.lit("s")), "doc_id", "n", "source")):
+        assert len(out.columns) == len(set(out.columns))
+        rows = out.collect()
+        assert len(rows) == 20
+        for r in rows:
+            assert all(r[c] == before[r.doc_id][c] for c in x.columns if c != "target" or c not in out.columns or "source_size" not in out.columns)
+
+
+def test_token_store_keeps_null_ids(spark, tokenizer):
+    got = tokenstore.store_and_read(docs_frame(spark, [(3, "b c"), (None, "a"), (3, "b c"), (-5, None)])).toPandas()
+    assert got.sort_values("start").doc_id.fillna(0).tolist() == [0, -5, 3, 3]
+    assert got.sort_values("start").start.tolist() == np.concatenate([[0], got.sort_values("start").n_tokens.cumsum()[:-1]]).tolist()
+
+
+def test_very_long_texts(spark, tokenizer):
+    """12 MB of words, and a word of 3 MB, through the operators that cut texts."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 2_000_000)]
+    rows = [(1, " ".join(words)), (2, "x" * 3_000_000), (3, "a b\n" * 4)]
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    for (_, t), b in zip(rows[::2], enc.encode([t for _, t in rows])[::2]):
+        assert b == ids_of(tokenizer, t)[:-1].tobytes()
+    automaton = toxicity.LexiconAutomaton(["w4999"], [])
+    assert toxicity.features(rows[0][1], automaton, {})[0] == 3
+    assert sum(e - b for _, b, e in toxicity._stretches(rows[0][1])) == len(words)
+    got = {r.doc_id: r for r in quality_op.clean_lines(docs_frame(spark, rows)).select("doc_id", "n_words", "word_chars").collect()}
+    assert got[1].n_words == len(words) and got[2].word_chars == 3_000_000

@@ -80,6 +80,15 @@ class Anchors:
         picked = picked[np.lexsort((self.at[picked], self.place[self.doc[picked]], self.around[picked], self.gram[picked]))]
         g, s = self.gram[picked], self.around[picked]
         first = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])]) if len(picked) else np.zeros(0, bool)
+        # Equal hashes say that a later one repeats its first; their bytes decide.
+        later = np.flatnonzero(~first)
+        if len(later):
+            a, b = picked[later], picked[np.maximum.accumulate(np.where(first, np.arange(len(picked)), 0))[later]]
+            k = np.arange(self.offsets - 1 + self.length)
+            buf = np.concatenate([np.zeros(self.offsets, np.uint8), self.buf, np.zeros(self.length, np.uint8)])
+            counts = (k >= (self.offsets - 1 - self.left[a])[:, None]) & (k < (self.offsets - 1 + self.right[a])[:, None])
+            same = ((buf[(self.at[a] + 1)[:, None] + k] == buf[(self.at[b] + 1)[:, None] + k]) | ~counts).all(1)
+            first[later] = ~(same & (self.left[a] == self.left[b]) & (self.right[a] == self.right[b]))
         return picked[first], picked[~first]  # firsts in order of gram
 
 
