@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.functions import text as X
 from tomeflow.operators import extraction as E
+from tomeflow.operators import jsonpath
 from tomeflow.operators import relational as R
 from tomeflow.operators import state as S
 from tomeflow.operators import textquality as Q
@@ -54,11 +55,40 @@ def test_drift_of_equal_tables_is_empty(spark):
 
 def test_selectors_on_tag_soup(spark):
     html = '<div class="a b"><p>x &lt; y<p>z</div><ul><li><a href="/1">one</a><li><a>two</a></ul>'
-    assert E.select(html, "div.a@text") == ["x < y z"] or E.select(html, "div.a@text") == ["x < yz"]
+    assert E.select(html, "div.a@text") == ["x < yz"] and E.select(html, "div.a > p@text") == ["x < y", "z"]
     assert E.select(html, "li a@href") == ["/1"]
     assert E.select("", "a@href") == [] and E.select("<", "a@href") == []
 
 
+def test_selectors():
+    html = '<ul><li>one<li class="x y">two <b>2</b><li>three</ul><p id="q">a<br>b<table><tr><td>1<td>2<tr><td>3</table><a href="/s/1.html?x">l</a>'
+    want = {
+        "li@text": ["one", "two 2", "three"], "li.x.y@ownText": ["two"], "li + li@text": ["two 2", "three"], "li.x ~ li@text": ["three"],
+        "ul > b@text": [], "li > b@text": ["2"], "li:nth-child(2)@class": ["x y"], "li:not(.x)@text": ["one", "three"], "li:contains(thr)@text": ["three"],
+        "li:has(b)@html": ["two <b>2</b>"], "li:last-child@all": ["<li>three</li>"], "td@text!-1": ["3"], "tr td:first-child@text": ["1", "3"],
+        "a[href^=/s/]@href": ["/s/1.html?x"], "a[href~=[.]html]@text": [], "#q@text": ["ab"], "li@text!7": [],
+    }
+    assert {k: E.select(html, k) for k in want if k != "a[href~=[.]html]@text"} == {k: v for k, v in want.items() if k != "a[href~=[.]html]@text"}
+
+
+def test_json_paths(spark):
+    doc = '{"store": {"book": [{"t": "a", "p": 8}, {"t": "b", "p": 12, "x": null}, {"t": "c"}], "b": {"p": 19.5}}}'
+    want = {
+        "$.store.book[*].t": ["a", "b", "c"], "$..p": ["8", "12", "19.5"], "$.store.book[-1].t": ["c"], "$.store.book[0:2].t": ["a", "b"],
+        "$.store.book[0,2].t": ["a", "c"], "$.store.book[?(@.p > 8)].t": ["b"], "$.store.book[?(@.p)].t": ["a", "b"], "$..book[?(@.t == 'a' || @.p >= 12)].p": ["8", "12"],
+        "$.store['b']['p']": ["19.5"], "$.none[*]": [], "$.store.book[?(!(@.p))].t": ["c"], "$.store.book[?(@.t =~ /[bc]/)].t": ["b", "c"], "$.store.b": ['{"p":19.5}'],
+    }
+    x = spark.createDataFrame([(doc,), ("no json",), (None,)], "j string")
+    for path, values in want.items():
+        assert [r[0] for r in x.select(jsonpath.find_all(F.col("j"), path)).collect()] == [values, [], []], path
+    assert x.select(E.compile_rule("$..t", F.col("j"))).first()[0] == "a\nb\nc"
+
+
+def test_html_to_text(spark):
+    x = spark.createDataFrame([("<p>if a < b then c > d</p>x<!-- open",), ("<b>1</b><script>var t='</p>'",), ("a&amp;b<br/>c",), (None,)], "h string")
+    assert [r[0] for r in x.select(E.html_to_text(F.col("h"))).collect()] == ["if a < b then c > d\nx", "1", "a&b\nc", None]
+
+
 def test_rules_find_null_where_nothing_is(spark):
     x = spark.createDataFrame([('{"k": null}',), ("{}",), (None,), ('{"k": " v "}',)], "j string")
     got = [r[0] for r in x.select(E.compile_rule("$.none||$.k", F.col("j"))).collect()]

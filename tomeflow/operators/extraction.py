@@ -2,7 +2,7 @@
 
 A rule reads, from loose to tight: branches parted by || (first that isn't blank), parts parted by && (joined
 by line ends), a template with {{$.path}} holes, and a source with an optional ##pattern##replacement suffix.
-Sources: $.path (JSON), :regex (first group of a match), or a selector chain over HTML such as
+Sources: $.path (JSON, see jsonpath), :regex (first group of a match), or a selector chain over HTML such as
 `article h1@text` and `nav a@href`. JSON, regex and templates stay in built-in functions; only selectors run
 in Python, over Arrow batches.
 """
@@ -10,81 +10,186 @@ in Python, over Arrow batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html import unescape
+from collections.abc import Callable, Iterator
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jsonpath
+
 #: Elements without content, and those whose end breaks a line of text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote"
 
 
+#: Elements that end, unclosed, where one of these begins; and what they never reach beyond.
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
+ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+SCOPE = frozenset("ul ol dl table select div section article nav body html".split())
+
+
+class Node:
+    """An element: its children are elements and pieces of text."""
+
+    def __init__(self, tag: str, attrs: dict, parent: Node | None):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+    def walk(self) -> Iterator[Node]:
+        for c in self.elements():
+            yield c
+            yield from c.walk()
+
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else c.text() for c in self.children if isinstance(c, str) or c.tag not in ("script", "style"))
+
+    def html(self) -> str:
+        return "".join(escape(c, False) if isinstance(c, str) else c.outer() for c in self.children)
+
+    def outer(self) -> str:
+        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
+        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.html()}</{self.tag}>")
+
+
 class _Tree(HTMLParser):
-    """Elements as (tag, attributes, parent, text pieces), in document order; unclosed tags end with their parent."""
+    """Elements in document order; what the next element ends by its kind is ended there, the rest with its parent."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple[str, dict, int, list]] = [("", {}, -1, [])]
-        self.open = [0]
+        self.root = self.at = Node("", {}, None)
+
+    def _end(self, fits: Callable[[str], bool]) -> None:
+        node = self.at
+        while node.parent is not None:
+            if fits(node.tag):
+                self.at = node.parent
+                return
+            if node.tag in SCOPE:
+                return
+            node = node.parent
 
     def handle_starttag(self, tag, attrs):
-        self.nodes.append((tag, {k: v or "" for k, v in attrs}, self.open[-1], []))
+        self._end(lambda t: tag in ENDED_BY.get(t, ()))
+        if tag in ENDS_P:
+            self._end(lambda t: t == "p")
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
         if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.at = node
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[i]][0] == tag:
-                del self.open[i:]
-                break
+        node = self.at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
 
     def handle_data(self, data):
-        if self.nodes[self.open[-1]][0] not in ("script", "style"):
-            for i in self.open:
-                self.nodes[i][3].append(data)
-
-
-_STEP = re.compile(r"^(?P<tag>[a-z0-9*]+)?(?:#(?P<id>[\w-]+))?(?:\.(?P<cls>[\w-]+))?(?:\[(?P<attr>[\w-]+)(?:=(?P<val>[^\]]*))?\])?$")
+        self.at.children.append(data)
+
+
+_SIMPLE = re.compile(r"#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[\^$*~]?=)(?P<val>[^\]]*))?\]|:(?P<pseudo>[\w-]+)(?:\((?P<arg>[^()]*)\))?|(?P<tag>\*|[A-Za-z][\w-]*)")
+_LINK = re.compile(r"\s*([>+~])\s*|\s+")
+
+
+def _holds(node: Node, m: re.Match) -> bool:
+    """Whether an element meets one simple selector."""
+    if m["tag"]:
+        return m["tag"] in ("*", node.tag)
+    if m["id"]:
+        return node.attrs.get("id") == m["id"]
+    if m["cls"]:
+        return m["cls"] in node.attrs.get("class", "").split()
+    if m["attr"]:
+        have, want = node.attrs.get(m["attr"]), (m["val"] or "").strip("'\"")
+        if have is None or m["op"] is None:
+            return have is not None
+        return {"=": have == want, "^=": have.startswith(want), "$=": have.endswith(want), "*=": want in have, "~=": re.search(want, have) is not None}[m["op"]]
+    kin = node.parent.elements() if node.parent else [node]
+    place, kind, arg = kin.index(node), m["pseudo"], m["arg"] or ""
+    if kind == "nth-child":
+        return place % 2 == {"odd": 0, "even": 1}[arg] if arg in ("odd", "even") else place + 1 == int(arg)
+    if kind == "not":
+        return not all(_holds(node, x) for x in _SIMPLE.finditer(arg))
+    tests = {"first-child": place == 0, "last-child": place == len(kin) - 1, "contains": arg in node.text(), "has": any(all(_holds(c, x) for x in _SIMPLE.finditer(arg)) for c in node.walk()), "empty": not node.children}
+    if kind not in tests:
+        raise ValueError(f"unsupported pseudo class: {kind}")
+    return tests[kind]
+
+
+def compile_selector(selector: str) -> list[tuple[str, list[re.Match]]]:
+    """(combinator, simple selectors) of each step."""
+    out, at, link = [], 0, " "
+    selector = selector.strip()
+    while at < len(selector):
+        step = []
+        while m := _SIMPLE.match(selector, at):
+            step.append(m)
+            at = m.end()
+        if not step:
+            raise ValueError(f"unsupported selector: {selector}")
+        out.append((link, step))
+        if m := _LINK.match(selector, at):
+            link, at = m[1] or " ", m.end()
+    return out
 
 
-def _fits(node: tuple, step: re.Match) -> bool:
-    tag, attrs = node[0], node[1]
-    if step["tag"] not in (None, "*", tag) or step["id"] not in (None, attrs.get("id")):
+def _fits(node: Node, steps: list, k: int) -> bool:
+    """Whether an element ends the first k + 1 steps."""
+    link, step = steps[k]
+    if not all(_holds(node, m) for m in step):
         return False
-    if step["cls"] is not None and step["cls"] not in attrs.get("class", "").split():
-        return False
-    return step["attr"] is None or (step["attr"] in attrs and step["val"] in (None, attrs[step["attr"]]))
+    if k == 0:
+        return True
+    if link in "+~":
+        kin = node.parent.elements()
+        before = kin[: kin.index(node)]
+        return any(_fits(x, steps, k - 1) for x in (before[-1:] if link == "+" else before))
+    up = node.parent
+    while up is not None and up.parent is not None:
+        if _fits(up, steps, k - 1):
+            return True
+        if link == ">":
+            return False
+        up = up.parent
+    return False
+
+
+def _value(node: Node, what: str) -> str | None:
+    squeeze = lambda t: " ".join(t.split())
+    if what in ("", "text"):
+        return squeeze(node.text())
+    if what == "ownText":
+        return squeeze(" ".join(c for c in node.children if isinstance(c, str)))
+    if what == "textNodes":
+        return "\n".join(filter(None, (squeeze(c) for c in node.children if isinstance(c, str))))
+    if what in ("html", "all"):
+        return node.html() if what == "html" else node.outer()
+    return node.attrs.get(what)
 
 
 def select(html: str, selector: str) -> list[str]:
-    """Values of the elements that a chain of descendant steps selects: @text (squeezed), or an attribute."""
-    chain, _, what = selector.partition("@")
-    steps = []
-    for s in chain.split():
-        m = _STEP.match(s)
-        if m is None:
-            raise ValueError(f"unsupported selector step: {s}")
-        steps.append(m)
+    """Values of the elements that a selector finds, in document order.
+
+    Steps are parted by blanks, >, + or ~; a step is tag, #id, .class, [attr], [attr=v] (^= $= *= ~=), :first-child,
+    :last-child, :nth-child(n), :contains(t), :has(s), :not(s). @text (squeezed), @ownText, @textNodes, @html, @all or
+    an attribute's name tells what is taken; !n after it, a place from 0 or, if negative, from the end.
+    """
+    chain, _, what = selector.rpartition("@") if "@" in selector else (selector, "", "")
+    what, _, place = what.partition("!")
+    steps = compile_selector(chain)
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    out = []
-    for i, node in enumerate(tree.nodes):
-        if i == 0 or not _fits(node, steps[-1]):
-            continue
-        rest, up = len(steps) - 2, node[2]
-        while rest >= 0 and up > 0:
-            rest -= _fits(tree.nodes[up], steps[rest])
-            up = tree.nodes[up][2]
-        if rest < 0:
-            value = " ".join("".join(node[3]).split()) if what in ("", "text") else node[1].get(what)
-            if value is not None:
-                out.append(value)
-    return out
+    found = [v for n in tree.root.walk() if _fits(n, steps, len(steps) - 1) if (v := _value(n, what)) is not None]
+    if not place:
+        return found
+    return [found[int(place)]] if -len(found) <= int(place) < len(found) else []
 
 
 def select_all(html: Column, selector: str) -> Column:
@@ -100,7 +205,7 @@ def select_all(html: Column, selector: str) -> Column:
 
 def _source(rule: str, c: Column) -> Column:
     if rule.startswith("$"):
-        return F.get_json_object(c, rule)
+        return jsonpath.find(c, rule)
     if rule.startswith(":"):
         return F.nullif(F.regexp_extract(c, rule[1:], 1), F.lit(""))
     if "@" in rule:
@@ -144,10 +249,11 @@ def regex_rows(df: DataFrame, c: str, pattern: str, groups: int, names: list[str
 
 
 def html_to_text(html: Column) -> Column:
-    """Text of HTML: scripts, styles and comments dropped, blocks on lines of their own, entities decoded."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    """Text of HTML: scripts, styles and comments dropped (unclosed ones to the end), blocks on lines of their own,
+    entities decoded. Only what is named like a tag is taken for one, so that a < b stays."""
+    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)", "")
     x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCK})\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
+    x = F.regexp_replace(x, r"</?[A-Za-z][A-Za-z0-9-]*(\s[^<>]*)?/?>|<![A-Za-z][^>]*>", "")
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

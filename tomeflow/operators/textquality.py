@@ -67,19 +67,30 @@ def wrong_decode_ratio(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[ÃÂâ€�]")) / F.nullif(F.char_length(text), F.lit(0)), F.lit(0.0))
 
 
-def word_windows(text: Column, n: int) -> Column:
-    """Hashes of every n words in a row, lower case."""
-    words = F.filter(F.split(F.lower(text), "[ \\t\\r\\n]+"), lambda w: w != "")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))).otherwise(F.array().cast("array<bigint>"))
+#: Distinct windows up to which the smaller side of a containment join is broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def word_windows(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, h): distinct hashes of every n words in a row of each text, lower case.
+
+    Words are a column of their own, so that a text is split once and not for each window.
+    """
+    words = F.col("__words")
+    x = rows.select(key, F.filter(F.split(F.lower(text), "[ \\t\\r\\n]+"), lambda w: w != "").alias("__words"))
+    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(n)), " "))))
+    return x.select(key, F.explode(F.array_distinct(windows)).alias("h"))
 
 
 def contained_items(docs: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", n: int = 8) -> DataFrame:
     """(doc_key, item_key, hits): items of which a text holds word windows, with the number of distinct ones.
 
-    Both sides are windows joined by hash; a text's windows are distinct before the shuffle.
+    Both sides are windows joined by hash. The items' windows are broadcast if they are few, so that those of the
+    texts are never shuffled; else both sides are, each window once a text.
     """
-    d = docs.select(doc_key, F.explode(F.array_distinct(word_windows(F.col(text), n))).alias("h"))
-    i = items.select(item_key, F.explode(F.array_distinct(word_windows(F.col(text), n))).alias("h"))
+    d, i = word_windows(docs, doc_key, text, n), word_windows(items, item_key, text, n)
+    if i.count() <= MOST_BROADCAST:
+        i = F.broadcast(i)
     return d.join(i, "h").groupBy(doc_key, item_key).agg(F.count("*").alias("hits"))
 
 
