@@ -10,6 +10,7 @@ from tomeflow.operators import state as S
 from tomeflow.operators import textquality as Q
 from tomeflow.plans import texts
 from tomeflow.sources import sinks
+from tomeflow.streaming import events as V
 
 
 def rows(df, *cols):
@@ -115,3 +116,18 @@ def test_dup_clusters_of_a_long_chain(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = rows(texts.dup_clusters(spark, str(tmp_path)), "doc_id", "cluster")
     assert got == sorted(((i, 0) for i in range(20)), key=repr)
+
+
+def test_volumes_are_next_fit(spark):
+    x = spark.createDataFrame([("a", 1, 6), ("a", 2, 5), ("a", 3, 4), ("a", 4, 30), ("a", 5, 1), ("b", 1, None), ("b", 2, 10), (None, 1, 3)], "k string, o int, n int")
+    got = rows(sinks.volumes(x, "k", "o", "n", 10), "k", "o", "volume", "volume_offset")
+    assert got == sorted([("a", 1, 0, 0), ("a", 2, 1, 0), ("a", 3, 1, 5), ("a", 4, 2, 0), ("a", 5, 3, 0), ("b", 1, 0, 0), ("b", 2, 0, 0), (None, 1, 0, 0)], key=repr)
+    assert sinks.volumes(x.where("false"), "k", "o", "n", 10).count() == 0
+
+
+def test_streams_of_folders_and_nothing(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.repartition(3).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    e.where("false").write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert V.run_once(spark, V.last_write(V.read_events(spark, str(tmp_path / "many"))), "complete", str(tmp_path)).count() == e.select("user_id").distinct().count()
+    assert V.run_once(spark, V.first_of_day(V.read_events(spark, str(tmp_path / "none"))), "append", str(tmp_path)).count() == 0

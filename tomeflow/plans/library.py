@@ -48,8 +48,9 @@ def library_page_late_mat(s, d):
 
 
 def library_search_escaped(s, d):
+    """Texts that hold a user's % or _ as such: the wildcards of what was typed are escaped in the pattern."""
     c = F.lower("text")
-    hits = R.where_all(t(s, d, "documents"), [F.contains(c, F.lit("%")) | F.contains(c, F.lit("_")), F.col("n_chars") > 200])
+    hits = R.where_all(t(s, d, "documents"), [c.like(r"%\%%") | c.like(r"%\_%"), None])
     return hits.select("doc_id", "n_chars", F.length(X.escape_like(F.col("text"))).alias("escaped_chars"))
 
 
@@ -336,7 +337,7 @@ def due_followups(s, d):
 
 
 def budget_fold_query(s, d):
-    li = t(s, d, "lineitem").where("l_orderkey <= 2000").withColumn("size", F.col("l_quantity").cast("long"))
+    li = t(s, d, "lineitem").withColumn("size", F.col("l_quantity").cast("long"))
     return R.budget_fold(li, "l_orderkey", "l_linenumber", "size", 60)
 
 
@@ -352,7 +353,7 @@ SQL = {
     "library_page_quality": f"SELECT doc_id, quality, n_chars FROM {RATED} ORDER BY quality DESC NULLS LAST, n_chars DESC, doc_id DESC LIMIT 30 OFFSET 30",
     "library_page_title": "SELECT doc_id, CASE WHEN length(f) > 40 THEN substr(f, 1, 39) || '…' ELSE f END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS f FROM documents) ORDER BY title NULLS FIRST, doc_id LIMIT 30 OFFSET 60",
     "library_page_late_mat": f"SELECT doc_id, lang, source, substr(text, 1, 60) AS head FROM {RATED} ORDER BY quality DESC NULLS LAST, n_chars DESC, doc_id DESC LIMIT 30 OFFSET 90",
-    "library_search_escaped": r"SELECT doc_id, n_chars, length(regexp_replace(text, '([\\%_])', '\\\1', 'g')) AS escaped_chars FROM documents WHERE (contains(lower(text), '%') OR contains(lower(text), '_')) AND n_chars > 200",
+    "library_search_escaped": r"SELECT doc_id, n_chars, length(regexp_replace(text, '([\\%_])', '\\\1', 'g')) AS escaped_chars FROM documents WHERE lower(text) LIKE '%\%%' ESCAPE '\' OR lower(text) LIKE '%\_%' ESCAPE '\'",
     "library_tag_or_filter": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND (source IN ('src1', 'src2') OR n_chars > 5000)",
     "library_usable_semi": "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)",
     "no_active_task_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')",

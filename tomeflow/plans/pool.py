@@ -57,7 +57,7 @@ def url_fragment_strip(s, d):
 
 
 def fold_translate(s, d):
-    x = t(s, d, "documents").select("doc_id", F.concat(F.lit("ＡＢ（１２）　"), F.substring("text", 1, 20)).alias("c"))
+    x = t(s, d, "documents").select("doc_id", F.concat(F.lit("ＡＢ（１２）　"), F.col("text")).alias("c"))
     return x.select("doc_id", X.fold_width(F.col("c")).alias("folded"))
 
 
@@ -94,7 +94,7 @@ def role_alternation(s, d):
 
 def near_source_pairs(s, d):
     """Sources whose sets of parts overlap the most, by Jaccard similarity of what they give."""
-    x = t(s, d, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_partkey").distinct()
+    x = t(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     n = x.groupBy("l_suppkey").agg(F.count("*").alias("n"))
     a, b = x.alias("a"), x.alias("b")
     both = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey")))
@@ -203,7 +203,7 @@ def watermark_prefix(s, d):
 
 
 def query_overlap(s, d):
-    """Pairs of months whose parts are the same for four tenths or more."""
+    """Months of 1995 and of 1996 that share a twentieth of their parts or more."""
     x = t(s, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("m"), F.col("l_partkey").alias("p")).distinct()
     a, b = x.where("m like '1995%'"), x.where("m like '1996%'")
     na, nb = a.groupBy("m").agg(F.count("*").alias("na")), b.groupBy("m").agg(F.count("*").alias("nb"))
@@ -233,13 +233,13 @@ SQL = {
     "orphan_key_union": f"WITH p AS (SELECT page_id, url, {NORMAL} AS key FROM pages), k AS (SELECT url, key FROM p WHERE page_id % 2 = 0) SELECT page_id, CASE WHEN url IN (SELECT url FROM k) THEN 'exact' ELSE 'orphan' END AS how FROM p WHERE url IN (SELECT url FROM k) OR key IN (SELECT key FROM k)",
     "single_point": "WITH ok AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N'), b AS (SELECT count(*) AS books, count(*) FILTER (WHERE n = 1) AS sole FROM (SELECT l_partkey, count(*) AS n FROM ok GROUP BY 1)), s AS (SELECT l_suppkey AS top_source, count(*) AS top_books FROM ok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT books, sole, top_source, top_books, round(top_books / books, 6) AS top_share FROM b, s",
     "url_fragment_strip": "SELECT page_id, regexp_replace(url, '#.*$', '') AS url, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment, split_part(url, '/', 3) AS authority FROM pages",
-    "fold_translate": "SELECT doc_id, translate('ＡＢ（１２）　' || substr(text, 1, 20), 'ＡＢ（１２）　', 'AB(12) ') AS folded FROM documents",
+    "fold_translate": "SELECT doc_id, translate('ＡＢ（１２）　' || text, 'ＡＢ（１２）　', 'AB(12) ') AS folded FROM documents",
     "title_clean": "SELECT p_partkey, p_name AS title FROM part",
     "preview_docs": "SELECT doc_id, n_chars FROM documents WHERE length(text) <= 200 AND regexp_matches(trim(text, ' '), '(…|[.][.][.])$')",
     "rolling_prefix_hash": "SELECT conv_id, md5(string_agg(text, chr(31) ORDER BY turn, role)) AS h, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn FROM conversations) WHERE rn <= 3 GROUP BY 1",
     "latest_turn": "SELECT conv_id, arg_max(role, turn) AS last_role, max(turn) AS last_turn, count(*) AS turns FROM conversations GROUP BY 1",
     "role_alternation": "SELECT conv_id, count(*) AS repeats FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE role = before GROUP BY 1",
-    "near_source_pairs": "WITH x AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 45), n AS (SELECT l_suppkey, count(*) AS n FROM x GROUP BY 1) SELECT c.a, c.b, round(k / (p.n + q.n - k), 6) AS score FROM (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS k FROM x JOIN x y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2) c JOIN n p ON c.a = p.l_suppkey JOIN n q ON c.b = q.l_suppkey",
+    "near_source_pairs": "WITH x AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT l_suppkey, count(*) AS n FROM x GROUP BY 1) SELECT c.a, c.b, round(k / (p.n + q.n - k), 6) AS score FROM (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS k FROM x JOIN x y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2) c JOIN n p ON c.a = p.l_suppkey JOIN n q ON c.b = q.l_suppkey",
     "probe_plan_order": "SELECT s_suppkey, plan_class, row_number() OVER (ORDER BY plan_class, s_suppkey % 11, s_suppkey) AS place FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 0 WHEN s_suppkey % 11 < 4 THEN 1 WHEN s_acctbal > 5000 THEN 2 ELSE 3 END AS plan_class FROM supplier)",
     "best_tier_pick": "SELECT p_brand, p_partkey, tier FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY tier, abs(p_size - 25), p_partkey) AS rn FROM (SELECT *, CASE WHEN contains(p_type, 'BRASS') THEN 0 WHEN contains(p_type, 'STEEL') THEN 1 ELSE 2 END AS tier FROM part)) WHERE rn = 1",
     "severity_merge": "SELECT user_id, arg_max(event_type, (severity, event_type)) AS worst, max(severity) AS severity FROM (SELECT *, CASE event_type WHEN 'error' THEN 4 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS severity FROM events) GROUP BY 1",

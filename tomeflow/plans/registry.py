@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, pool, texts
+from . import library, more, pool, texts
 
-MODULES = (library, texts, pool)
+MODULES = (library, texts, pool, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

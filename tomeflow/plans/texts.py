@@ -81,8 +81,8 @@ def char_ngrams_topk(s, d):
 
 
 def similar_titles(s, d):
-    x = _titles(s, d).select("doc_id", "lang", F.regexp_replace(F.lower(F.substring("title", 1, 60)), "[^a-z0-9]", "").alias("title"))
-    return Q.similar_titles(x, "doc_id", "title", "lang", 0.7, 2)
+    x = _titles(s, d).select("doc_id", "lang", F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("title"))
+    return Q.similar_titles(x, "doc_id", "title", "lang", 0.7, 3)
 
 
 def dup_clusters(s, d):
@@ -182,7 +182,7 @@ def veto_clauses(s, d):
     """Candidates whose text holds a vetoed term outside a negated clause."""
     clause = F.split(F.lower("text"), "[.,;!?\\n]")
     hit = F.exists(clause, lambda c: F.contains(c, F.lit("tion")) & ~F.contains(c, F.lit(" not ")))
-    return t(s, d, "documents").where(F.col("n_chars") < 2000).select("doc_id", F.when(hit, "veto").otherwise("pass").alias("verdict"))
+    return t(s, d, "documents").select("doc_id", F.when(hit, "veto").otherwise("pass").alias("verdict"))
 
 
 def rerank_top10(s, d):
@@ -219,8 +219,7 @@ def append_detection(s, d):
 
 
 def chapter_split(s, d):
-    x = t(s, d, "documents").where("doc_id % 2 = 0")
-    x = x.select("doc_id", F.regexp_replace("text", "\\n", F.concat(F.lit("\n第"), F.col("doc_id").cast("string"), F.lit("章 \n"))).alias("text"))
+    x = t(s, d, "documents").select("doc_id", F.regexp_replace("text", "\\n", F.concat(F.lit("\n第"), F.col("doc_id").cast("string"), F.lit("章 \n"))).alias("text"))
     return chapters(x, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("chapters"), F.min("start_byte").alias("first"), F.max("end_byte").alias("bytes"))
 
 
@@ -255,7 +254,8 @@ def insert_absent_customers(s, d):
 
 
 def _shared(s):
-    return s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The cluster's shared folder; where it is unset, one below the warehouse, which is shared too."""
+    return s.conf.get("spark.checkpoint.dir", None) or f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
 
 
 def stream_tumbling(s, d):
@@ -280,8 +280,8 @@ NORMAL = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '')"
 LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
 REASON = r"CASE WHEN regexp_matches(line, '(?i)all rights reserved|licensed under|released under') THEN 'rights' WHEN regexp_matches(line, '(?i)^\s*https?://\S+\s*$') THEN 'link' WHEN regexp_matches(line, '(\S+ \| ){2,}') THEN 'nav' WHEN regexp_matches(line, '^\s*[#*=_-]{3,}\s*$') THEN 'marker' END"
 GRAMS8 = "(SELECT DISTINCT {k}, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM {t}) WHERE len(w) >= 8))"
-TGRAMS = "(SELECT lang, k, min(doc_id) AS id, list_distinct(list_transform(range(1, length(k)), lambda i: substr(k, i, 2))) AS g FROM (SELECT doc_id, lang, regexp_replace(lower(substr(string_split(text, chr(10))[1], 1, 60)), '[^a-z0-9]', '', 'g') AS k FROM documents) WHERE length(k) >= 2 GROUP BY lang, k)"
-SIMILAR = f"SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)), 6) AS score FROM {TGRAMS} x JOIN {TGRAMS} y ON x.lang = y.lang AND x.id < y.id WHERE round(len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)), 6) >= 0.7"
+TGRAMS = "(SELECT lang, k, min(doc_id) AS id, list_distinct(list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3))) AS g FROM (SELECT doc_id, lang, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS k FROM documents) WHERE length(k) >= 3 GROUP BY lang, k)"
+SIMILAR = f"SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)), 6) AS score FROM {TGRAMS} x JOIN {TGRAMS} y ON x.lang = y.lang AND x.id < y.id AND len(x.g) * 10 >= len(y.g) * 7 - 1 AND len(y.g) * 10 >= len(x.g) * 7 - 1 WHERE round(len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)), 6) >= 0.7"
 
 SQL = {
     "loose_keys": "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS loose, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS brand FROM part",
@@ -313,15 +313,15 @@ SQL = {
     "or_first_nonblank": "SELECT event_id, nullif(trim(json_extract_string(props, '$.k')), '') AS v FROM events",
     "and_merge": "SELECT event_id, json_extract_string(props, '$.k') || chr(10) || json_extract_string(props, '$.k') AS v FROM events",
     "aio_regex_list": """SELECT page_id, i - 1 AS item_no, h[i] AS href, n[i] AS name FROM (SELECT page_id, h, n, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS n FROM pages))""",
-    "veto_clauses": r"SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[.,;!?\n]'), lambda c: contains(c, 'tion') AND NOT contains(c, ' not '))) > 0 THEN 'veto' ELSE 'pass' END AS verdict FROM documents WHERE n_chars < 2000",
+    "veto_clauses": r"SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[.,;!?\n]'), lambda c: contains(c, 'tion') AND NOT contains(c, ' not '))) > 0 THEN 'veto' ELSE 'pass' END AS verdict FROM documents",
     "rerank_top10": "SELECT doc_id, round(2 * quality - 3 * toxic + least(n_chars, 4000) / 4000, 6) AS score FROM documents JOIN labels USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10",
     "lww_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "rate_limit_windows": "SELECT event_type, ws AS window_start, attempts, attempts <= 2 AS allowed, CASE WHEN attempts <= 2 THEN 0 ELSE CAST(3600 - (CAST(floor(epoch(l)) AS BIGINT) - ws) AS INTEGER) END AS retry_after_s FROM (SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS ws, count(*) AS attempts, max(ts) AS l FROM events GROUP BY 1, 2)",
     "session_gap": "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, sid, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 720 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY 1, 2) GROUP BY 1",
     "stale_reclaim_transition": "SELECT o_orderstatus, CASE WHEN o_orderstatus = 'O' AND o_orderdate < m - INTERVAL 365 DAYS THEN CASE WHEN o_orderkey % 4 >= 3 THEN 'failed' ELSE 'pending' END ELSE o_orderstatus END AS next_status, count(*) AS n FROM orders, (SELECT max(o_orderdate) AS m FROM orders) GROUP BY 1, 2",
     "append_detection": "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'baseline' WHEN conv_id % 5 = 0 THEN 'rebased' WHEN count(*) <= 3 THEN 'unchanged' ELSE 'appended' END AS state FROM conversations GROUP BY conv_id",
-    "chapter_split": "SELECT doc_id, len(string_split(text, chr(10))) AS chapters, 0 AS first, strlen(text) + (len(string_split(text, chr(10))) - 1) * (strlen(CAST(doc_id AS VARCHAR)) + 8) AS bytes FROM documents WHERE doc_id % 2 = 0",
-    "volume_pack": "SELECT source, doc_id, CAST(floor(st / 20000) AS BIGINT) AS volume, CAST(st - floor(st / 20000) * 20000 AS BIGINT) AS volume_offset FROM (SELECT source, doc_id, coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM documents)",
+    "chapter_split": "SELECT doc_id, len(string_split(text, chr(10))) AS chapters, 0 AS first, strlen(text) + (len(string_split(text, chr(10))) - 1) * (strlen(CAST(doc_id AS VARCHAR)) + 8) AS bytes FROM documents",
+    "volume_pack": "WITH RECURSIVE x AS (SELECT source, doc_id, strlen(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), r AS (SELECT source, doc_id, n, rn, CAST(0 AS BIGINT) AS volume, CAST(0 AS BIGINT) AS volume_offset FROM x WHERE rn = 1 UNION ALL SELECT x.source, x.doc_id, x.n, x.rn, CASE WHEN r.volume_offset + r.n + x.n > 20000 THEN r.volume + 1 ELSE r.volume END, CASE WHEN r.volume_offset + r.n + x.n > 20000 THEN 0 ELSE r.volume_offset + r.n END FROM r JOIN x ON x.source = r.source AND x.rn = r.rn + 1) SELECT source, doc_id, volume, volume_offset FROM r",
     "capacity_running": "SELECT l_suppkey, count(*) AS fit, max(used) AS used FROM (SELECT l_suppkey, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS used FROM lineitem) WHERE used <= 500 GROUP BY 1",
     "snapshot_orphans": "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= '1998-06-01')",
     "upsert_orders": "SELECT CASE WHEN o_orderkey % 3 <> 1 AND o_orderkey % 2 = 0 THEN 'X' WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,10 +41,24 @@ def drift(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def volumes(rows: DataFrame, key: str, order: str, size: str, capacity: int) -> DataFrame:
-    """rows with volume and volume_offset: each key's rows cut in order into volumes of about the capacity.
+    """rows with volume and volume_offset: each key's rows in order, next-fit, whole; what fits no volume has its own.
 
-    A row belongs to the volume in which it begins, so no window but a running sum is needed.
+    Next-fit is a walk in order, so a key's rows pass one task; they are sorted outside memory and stream through in
+    batches, and only the place in the current volume is held. Null sizes are 0; ties follow the order's column only.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return rows.withColumn("__start", start).withColumn("volume", F.floor(F.col("__start") / capacity)).withColumn("volume_offset", F.col("__start") - F.col("volume") * capacity).drop("__start")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, volume, used, begun = None, 0, 0, False
+        for f in frames:
+            at = []
+            for k, n in zip(f[key].tolist(), f[size].fillna(0).astype("int64").tolist(), strict=True):
+                if not begun or k != now and not (k is None and now is None):
+                    now, volume, used, begun = k, 0, 0, True
+                elif used and used + n > capacity:
+                    volume, used = volume + 1, 0
+                at.append((volume, used))
+                used += n
+            yield f.assign(volume=[v for v, _ in at], volume_offset=[o for _, o in at])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("volume", T.LongType()), T.StructField("volume_offset", T.LongType())])
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(walk, schema)

@@ -14,7 +14,12 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files; ts becomes a timestamp for watermarks."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(EVENTS)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        raw = reader.parquet(f"{sf_dir}/events.parquet")
+    else:  # a stream reads folders
+        raw = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -53,8 +58,13 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str, shared: str, fol
     path = f"{shared.rstrip('/')}/tomeflow/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        (fold(batch) if fold else batch).write.mode("append" if mode == "append" else "overwrite").parquet(f"{path}/rows")
+        # A batch that is tried again writes over what it wrote before.
+        at = f"{path}/rows/epoch={epoch if mode == 'append' else 0}"
+        (fold(batch) if fold else batch).write.mode("overwrite").parquet(at)
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not rows.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rows):  # the stream had no batch
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
