@@ -76,10 +76,16 @@ def set_fail_count(n: Column, rest: Column) -> Column:
     return F.concat(F.lit("fail_count:"), n.cast("string"), F.lit(":"), rest)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often, or inside lambdas, it stands there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     """Distinct runs of n letters or digits of the loose key; none if it is shorter."""
-    k = loose_key(c)
-    return F.when(F.char_length(k) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(k) - n + 1), lambda i: F.substr(k, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(F.coalesce(loose_key(c), F.lit("")), ""), lambda x: x != "")
+    runs = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(k) - n), lambda i: F.array_join(F.slice(k, i + 1, F.lit(n)), "")))
+    return let(chars, lambda k: F.when(F.size(k) >= n, runs(k)).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
