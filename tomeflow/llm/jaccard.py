@@ -122,6 +122,17 @@ def _describe(words: int):
     return run
 
 
+def apart(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[np.ndarray]]:
+    """Of sampled sets those at least 4 radii from the ones before: a family that is sampled often has one pivot, not
+    many whose windows all its members would lie in."""
+    chosen: list[int] = []
+    for i, x in enumerate(sets):
+        common = [(overlap(x, sets[j]), len(x) + len(sets[j])) for j in chosen]
+        if all(c * den <= (n - c) * (den - 4 * (den - num)) for c, n in common):
+            chosen.append(i)
+    return [ids[i] for i in chosen], [sets[i] for i in chosen]
+
+
 class Pivots:
     """Distances of sets to the sampled pivots, by a sorted list of all their shingles."""
 
@@ -344,7 +355,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
 
     sample = one.where(F.col("n") <= PIVOT_SHINGLES).orderBy("h1", "h2").limit(PIVOTS).select("id")
     got = members(sample).orderBy("id").toArrow().to_pydict()  # PIVOTS sets of bounded size
-    pivots = Pivots(got["id"], [np.frombuffer(m, "<u8") for m in got["members"]])
+    pivots = Pivots(*apart(got["id"], [np.frombuffer(m, "<u8") for m in got["members"]], num, den))
     all_sets = in_blocks(one)
     cells = save(all_sets.mapInPandas(tidy(_cells(words, num, den, pivots)), "region long, id long, n long, pivot long, near double, link boolean"), "cells")
     sent = all_sets.mapInPandas(tidy(_send(words, num, den, parts, pivots)), PART_SCHEMA)
