@@ -414,10 +414,12 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
         if last or large.isEmpty():
             break
         mine = large.groupBy("id").agg(F.collect_set("region").alias("regions"))  # as many as a set has parts
-        split = sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long").distinct()
+        # Written, as it is read twice and costs Python time.
+        split = save(sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long").distinct(), "split")
         several = split.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
         # No pivot has been measured in the new regions: near is alike for all, which leaves windows by size alone.
         x = save(split.join(several, "region").join(sets.select("id", "n"), "id").select("region", "id", "n", F.lit(-1).cast("long").alias("pivot"), F.lit(0.0).alias("near")), "regions")
+        discard(split)
 
     roots = components(links).withColumnRenamed("node", "id")
     classes = one.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
