@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import discard, save
 
 MOST_ROUNDS = 100
+#: Links that a task writes: later rounds have no more links than the first, so their tables are cut by its count.
+LINKS_A_TASK = 250_000
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +41,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not before.n:
             break
-        new = save(_stars(_stars(cur, True), False), "links")
+        new = save(_stars(_stars(cur, True), False).coalesce(-(-before.n // LINKS_A_TASK)), "links")
         now = mark(new)
         discard(cur)
         cur = new
