@@ -38,6 +38,8 @@ LEAF, GROUP, GROUP_SHINGLES = 64, 2048, 4_000_000
 MOST_LEVELS = 3
 #: Cells of a set's sketch; ids up to which a list of them is broadcast.
 CELLS, MOST_BROADCAST = 256, 1_000_000
+#: Rows of split regions that leave a worker together.
+SPLIT_ROWS = 100_000
 #: Keeps rounding from putting a set outside a window.
 SLACK = 1e-6
 
@@ -306,12 +308,22 @@ def _join_regions(num: int, den: int):
 
 
 def _split_again(num: int, den: int, family: int):
+    """Keys of the regions that each region of a set is split into; a set has none of them twice."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            keys, ids, rows = [], [], 0
             for name, members, regions in zip(f["id"], f["members"], f["regions"], strict=True):
-                own = set_signatures(np.frombuffer(members, "<u8"), num, den, family)
+                own = np.unique(set_signatures(np.frombuffer(members, "<u8"), num, den, family))
                 for r in regions:
-                    yield pd.DataFrame({"region": mix(own ^ np.uint64(int(r) & (1 << 64) - 1)).view(np.int64), "id": name})
+                    keys.append(mix(own ^ np.uint64(int(r) & (1 << 64) - 1)).view(np.int64))
+                    ids.append(np.full(len(own), name, np.int64))
+                    rows += len(own)
+                    if rows >= SPLIT_ROWS:
+                        yield pd.DataFrame({"region": np.concatenate(keys), "id": np.concatenate(ids)})
+                        keys, ids, rows = [], [], 0
+            if rows:
+                yield pd.DataFrame({"region": np.concatenate(keys), "id": np.concatenate(ids)})
 
     return run
 
@@ -381,6 +393,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
     # What the windows of the pivots leave open.
     for level in range(1, MOST_LEVELS + 1):
         roots = components(links)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the next level starts from these stars
         x = x.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = x.groupBy("region").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
         x = save(x.join(open_.select("region", "count", "shingles"), "region"), "open")
@@ -415,7 +428,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
             break
         mine = large.groupBy("id").agg(F.collect_set("region").alias("regions"))  # as many as a set has parts
         # Written, as it is read twice and costs Python time.
-        split = save(sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long").distinct(), "split")
+        split = save(sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long"), "split")
         several = split.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
         # No pivot has been measured in the new regions: near is alike for all, which leaves windows by size alone.
         x = save(split.join(several, "region").join(sets.select("id", "n"), "id").select("region", "id", "n", F.lit(-1).cast("long").alias("pivot"), F.lit(0.0).alias("near")), "regions")
