@@ -225,7 +225,7 @@ def _regions(x: pd.DataFrame) -> pd.DataFrame:
     out: dict[bytes, int] = {}
     for a, n in zip(begin.tolist(), size.tolist(), strict=True):
         out.setdefault(ids[a : a + n].tobytes(), int(keys[a : a + 1].view(np.int64)[0]) & (1 << 62) - 1)
-    return pd.DataFrame({"region": list(out.values()), "members": [np.frombuffer(m, np.int64) for m in out]})
+    return pd.DataFrame({"region": list(out.values()), "members": pd.Series([np.frombuffer(m, np.int64) for m in out], dtype=object)})  # object also where there are none
 
 
 def sketch(s: np.ndarray) -> bytes:
