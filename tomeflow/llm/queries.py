@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, jaccard, lm, mixing, packing, quality, sharding, suffixdedup, tokenstore, toxicity
+from . import embedding, filteraudit, fuzzyhash, jaccard, lexical, lm, mixing, packing, quality, sharding, suffixdedup, tokenstore, toxicity
 from .common import WORD, save, table
 
 
@@ -63,6 +63,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzyhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_best_fit_packing,
@@ -75,9 +87,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_mixing,
         op10_lm_scoring,
+        op11_filter_audit,
+        op12_ranked_search,
+        op13_fingerprints,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": filteraudit.SQL, "op12_ranked_search": lexical.SQL}
