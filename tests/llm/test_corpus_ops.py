@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -94,7 +95,7 @@ def test_suffix_dedup_odd_rows(spark):
 @pytest.mark.parametrize("which", ["made", "sf"])
 def test_jaccard(spark, words, num, den, which, monkeypatch):
     if which == "made":  # small regions, so that each way of joining them is taken
-        for name, value in (("LEAF", 2), ("GROUP", 5), ("MOST_LEVELS", 2), ("PIVOTS", 4 if words == 3 else 256)):
+        for name, value in (("LEAF", 2), ("GROUP", 5), ("MOST_LEVELS", 2), ("MOST_MARKED", 0 if words == 3 else 1 << 28)):
             monkeypatch.setattr(jaccard, name, value)
     rows = made_texts() if which == "made" else documents()
     got = jaccard.jaccard_join(frame(spark, rows).repartition(3), words, num, den)
@@ -140,6 +141,25 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_jaccard_meets_in_regions_of_pivots(spark, caplog):
+    """Of families of edited texts nearly all are joined in regions of pivots, and what keys add is logged apart."""
+    rng = random.Random(6)
+    rows = []
+    for f in range(40):
+        origin = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
+        for k in range(8):
+            text = list(origin)
+            for _ in range(rng.randint(0, len(text) // 60)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(5000)}"
+            rows.append((100 * f + k, " ".join(text)))
+    with caplog.at_level("INFO", logger="tomeflow.llm.jaccard"):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(frame(spark, rows)).collect()}
+    assert got == plain_jaccard(rows, 3, 90, 100)
+    by_pivots, by_keys = map(int, re.findall(r"\d+", caplog.messages[-1]))
+    joined = len({t for _, t in rows}) - len({c for _, c in got.values()})
+    assert by_pivots + by_keys == joined and by_keys <= 0.05 * joined
+
+
 def test_join_region():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 64, 100, np.uint64))

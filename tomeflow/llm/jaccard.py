@@ -1,22 +1,24 @@
 """Exact Jaccard join of word-shingle sets as a metric-space join, with the classes that its links form.
 
-Jaccard distance is a metric. Pivots are sets sampled from all distinct ones; each set lies in the Voronoi
-region of its nearest pivot p1 and, as a boundary set, in the region of every pivot p whose distance is no more
-than d(x, p1) + 2 * radius: by the triangle inequality two linked sets then meet in the nearest region of one of
-them. That holds while d(x, p1) < 1 - 2 * radius; nearer than 1 - 3 * radius to its pivot, a set needs no other
-region. Most documents of a corpus, though, are at distance 1 of nearly all others, and pivots can't part those:
-they would lie in every window. For them alone a filter stands in front. The shingle space is split by hash into
-more parts than two linked sets can differ in, so linked sets agree on some part, which is a region of the sets
-at distance 0 in that part; the member that shares most regions becomes its pivot.
-
-Regions join recursively. Distances to the pivot give links at once, and two sets link only if their distances to
-it differ by no more than the radius. What windows leave open is joined in turn: small regions by their open
-pairs, larger ones around further pivots, those beyond GROUP after being split again, and what can't be split in
-pieces that meet two by two. Sets already in one class need no comparison.
+Jaccard distance is a metric, linked sets are no more than a radius apart. Pivots grow with the corpus: a set shows
+MEETS of its shingles, the first of equal shares of the hash space; of the sets that show a shingle one becomes its
+pivot, and a set meets the pivots that it shares two of them with. It lies in the Voronoi region of the nearest of
+them, and, as a boundary set, in those that it is at most two radii farther from: linked sets lie together there.
+Distances to the pivot give links at once, and by the triangle inequality two sets of a region can link only if
+their distances to its pivot differ by no more than the radius. What this window leaves open is joined in turn:
+small regions by their open pairs, larger ones around further pivots, those beyond GROUP after being split again,
+and what can't be split in pieces that meet two by two. Sets already in one class need no comparison.
+
+Linked sets nearly always share what they show (at a likeness of 0.8, two of 8 in all but 8 of 100,000 pairs), but
+needn't. So the rest is found by keys that they must share: the shingle space is split by hash into more parts than
+two linked sets can differ in, and those equal in a part are a region, whose pivot is the member that shares most
+of them. Of these regions only those with sets of several classes are joined, in the same way.
 """
 
 from __future__ import annotations
 
+import functools
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, at_parts, block_words, joi
 from .common import discard, free_memory, save, tidy
 from .components import components
 
-#: Sampled pivots, and the shingles that one may have: both bound what every task holds of them.
-PIVOTS, PIVOT_SHINGLES = 256, 4096
+#: Shingles that a set shows to meet pivots, a power of two; how many radii a pivot's region reaches.
+MEETS, REACH = 8, 3
 #: Open pairs of regions of up to LEAF sets are compared one by one, those of regions of up to GROUP sets (and
 #: GROUP_SHINGLES shingles) in one task each, around further pivots; larger regions are split again up to
 #: MOST_LEVELS times, and then cut into pieces that meet two by two.
@@ -38,12 +40,17 @@ LEAF, GROUP, GROUP_SHINGLES = 64, 2048, 4_000_000
 MOST_LEVELS = 3
 #: Cells of a set's sketch; ids up to which a list of them is broadcast.
 CELLS, MOST_BROADCAST = 256, 1_000_000
+#: Rows of blocks up to which their bitmap is broadcast (32 MB); beyond, blocks are shuffled to it.
+MOST_MARKED = 1 << 28
 #: Rows of split regions that leave a worker together.
 SPLIT_ROWS = 100_000
 #: Keeps rounding from putting a set outside a window.
 SLACK = 1e-6
 
+log = logging.getLogger(__name__)
 
+
+@functools.lru_cache(4096)
 def size_class_bounds(num: int, den: int, most: int) -> np.ndarray:
     """First sizes of the size classes: a linked set lies in the class of the larger one or the one before."""
     out = [1]
@@ -115,85 +122,47 @@ def _name(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(x).view(np.int64)[0]) for x in sums)
 
 
+def shown(s: np.ndarray) -> np.ndarray:
+    """The first members of equal shares of the hash space, where a share has any."""
+    share = np.arange(MEETS, dtype=np.uint64) << np.uint64(64 - (MEETS - 1).bit_length())
+    at = np.searchsorted(s, share)
+    at = np.unique(at[at < len(s)])  # an empty share's first member is a later share's too
+    return s[at]
+
+
 def _describe(words: int):
     def run(block: int, payload: bytes) -> Iterator[pd.DataFrame]:
         s = Sets(payload, words)
         names = [_name(x) for x in s.sets]
-        yield pd.DataFrame({"uid": block * BLOCK_DOCS + np.arange(len(s.ids)), "doc_id": s.ids, "n": [len(x) for x in s.sets], "h1": [n[0] for n in names], "h2": [n[1] for n in names]})
+        show = pd.Series([shown(x).view(np.int64) for x in s.sets], dtype=object)
+        yield pd.DataFrame({"uid": block * BLOCK_DOCS + np.arange(len(s.ids)), "doc_id": s.ids, "n": [len(x) for x in s.sets], "h1": [n[0] for n in names], "h2": [n[1] for n in names], "show": show})
 
     return run
 
 
-def apart(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[np.ndarray]]:
-    """Of sampled sets those at least 4 radii from the ones before: a family that is sampled often has one pivot, not
-    many whose windows all its members would lie in."""
-    chosen: list[int] = []
-    for i, x in enumerate(sets):
-        common = [(overlap(x, sets[j]), len(x) + len(sets[j])) for j in chosen]
-        if all(c * den <= (n - c) * (den - 4 * (den - num)) for c, n in common):
-            chosen.append(i)
-    return [ids[i] for i in chosen], [sets[i] for i in chosen]
-
-
-class Pivots:
-    """Distances of sets to the sampled pivots, by a sorted list of all their shingles."""
-
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
-        self.ids, self.size = ids, np.array([len(x) for x in sets], np.int64)
-        shingles = np.concatenate([np.zeros(0, np.uint64), *sets])
-        order = np.argsort(shingles, kind="stable")
-        self.shingles, self.whose = shingles[order], np.repeat(np.arange(len(sets)), self.size)[order]
-
-    def near(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set, pivot, common shingles) where they have any."""
-        n = np.array([len(x) for x in sets], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-        low = np.searchsorted(self.shingles, flat)
-        found = np.flatnonzero(self.shingles[np.minimum(low, max(len(self.shingles) - 1, 0))] == flat) if len(self.shingles) else np.zeros(0, np.int64)
-        low = low[found]
-        times = np.searchsorted(self.shingles, flat[found], side="right") - low
-        of = np.repeat(np.repeat(np.arange(len(sets)), n)[found], times)
-        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        cell, common = np.unique(of * max(len(self.ids), 1) + self.whose[at], return_counts=True)
-        return cell // max(len(self.ids), 1), cell % max(len(self.ids), 1), common
-
-    def regions(self, sets: list[np.ndarray], num: int, den: int) -> tuple[pd.DataFrame, np.ndarray]:
-        """(rows of set, pivot, near, link of the regions that sets lie in; which sets pivots don't part)."""
-        i, p, common = self.near(sets)
-        n = np.array([len(x) for x in sets], np.int64)
-        union = n[i] + self.size[p] - common
-        d, radius = 1 - common / np.maximum(union, 1), 1 - num / den
-        least = np.ones(len(sets))
-        np.minimum.at(least, i, d)
-        inside = (least[i] < 1 - 2 * radius - SLACK) & (d <= least[i] + 2 * radius + SLACK)
-        rows = pd.DataFrame({"set": i, "pivot": p, "near": d, "link": den * common >= num * union})[inside]
-        return rows, least >= 1 - 3 * radius - 2 * SLACK
-
-
-def _cells(words: int, num: int, den: int, pivots: Pivots):
-    """Regions of the pivots that a block's distinct sets lie in."""
+def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of a block as a bitmap."""
+    for f in frames:
+        bits = []
+        for places in f["places"]:
+            x = np.zeros(int(max(places)) + 1, bool)
+            x[places] = True
+            bits.append(np.packbits(x).tobytes())
+        yield pd.DataFrame({"block": f["block"], "take": bits})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
-                s = Sets(payload, words).sets
-                rows, _ = pivots.regions([s[i] for i in take], num, den)
-                at = np.array(take, np.int64)[rows["set"].to_numpy()]
-                p = rows["pivot"].to_numpy()
-                yield pd.DataFrame({"region": -1 - p, "id": block * BLOCK_DOCS + at, "n": [len(s[i]) for i in at], "pivot": np.array([*pivots.ids, 0], np.int64)[p], "near": rows["near"], "link": rows["link"]})
 
-    return run
+def taken(marks: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(marks, "u1")))
 
 
-def _send(words: int, num: int, den: int, parts: int, pivots: Pivots):
-    """Keys of the filter's regions for those distinct sets of a block that pivots don't part, with their places."""
+def _send(words: int, num: int, den: int, parts: int):
+    """Keys of the parts of a block's distinct sets, with their places."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
                 s, keys, place = Sets(payload, words).sets, [], []
-                _, rest = pivots.regions([s[i] for i in take], num, den)
-                for i in np.array(take, np.int64)[rest].tolist():
+                for i in taken(take).tolist():
                     k = set_signatures(s[i], num, den)
                     keys.append(k)
                     place.append(np.full(len(k), i, "<u4"))
@@ -213,19 +182,22 @@ def _send(words: int, num: int, den: int, parts: int, pivots: Pivots):
 
 
 def _regions(x: pd.DataFrame) -> pd.DataFrame:
-    """(region, members) of keys that more than one set has; regions of the same members are one."""
+    """(region, id) of keys that more than one set has. A region is named by its members, so that those of the same
+    members are one."""
     sent = [split_values(p) for p in x["payload"]]
     keys = np.concatenate([unsqueeze_keys(s[0]) for s in sent])
     ids = np.concatenate([unsqueeze_array(s[1], "<u4").astype(np.int64) + b * BLOCK_DOCS for s, b in zip(sent, x["block"], strict=True)])
-    order = np.lexsort((ids, keys))
+    order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(begin, append=len(keys))
-    begin, size = begin[size > 1], size[size > 1]
-    out: dict[bytes, int] = {}
-    for a, n in zip(begin.tolist(), size.tolist(), strict=True):
-        out.setdefault(ids[a : a + n].tobytes(), int(keys[a : a + 1].view(np.int64)[0]) & (1 << 62) - 1)
-    return pd.DataFrame({"region": list(out.values()), "members": pd.Series([np.frombuffer(m, np.int64) for m in out], dtype=object)})  # object also where there are none
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat(mix(ids.view(np.uint64)), begin, dtype=np.uint64) if len(keys) else np.zeros(0, np.uint64)
+        name = mix(name + size.astype(np.uint64)) >> np.uint64(2)
+    first = np.zeros(len(begin), bool)
+    first[np.unique(name, return_index=True)[1]] = True
+    keep = np.repeat((size > 1) & first, size)
+    return pd.DataFrame({"region": np.repeat(name, size)[keep].view(np.int64), "id": ids[keep]})
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -253,12 +225,12 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Saved (a, b, link, near) of those pairs of sets that may link by what their cells' counts allow."""
+def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int = 1) -> DataFrame:
+    """Saved (a, b, link, near) of those pairs of sets that may be within reach radii by what their cells' counts allow."""
     both = lambda x, d, *cols: x.join(d.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a").join(d.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols]), "b")
-    links = lambda common: F.col(common) * den >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col(common))
+    links = lambda common, r=1: F.col(common) * den >= F.lit(den - r * (den - num)) * (F.col("n_a") + F.col("n_b") - F.col(common))
     pairs = both(pairs, sets, "n", "sketch").withColumn("most", _bound("sketch_a", "sketch_b", "n_a", "n_b"))
-    close = save(pairs.where(links("most")).select("a", "b", "n_a", "n_b"), "close")
+    close = save(pairs.where(links("most", reach)).select("a", "b", "n_a", "n_b"), "close")
     ids = save(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "ids")
     out = both(close, _only(sets, ids), "members").withColumn("common", _common("members_a", "members_b"))
     near = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
@@ -297,6 +269,41 @@ def join_region(names: list[int], sets: list[np.ndarray], roots: list[int], near
     return out
 
 
+def _close_pairs(num: int, den: int):
+    """Pairs of small regions, given in order of region, whose sets are of different classes, inside each other's
+    window and by their cells' counts may link; those with the pivot have been measured."""
+
+    def pairs(region: pd.DataFrame, out: list[tuple[int, int]]) -> None:
+        x = np.frombuffer(b"".join(region["sketch"]), "u1").reshape(-1, CELLS)
+        ids, n, root, near = (region[c].to_numpy() for c in ("id", "n", "root", "near"))
+        done = ids == region["pivot"].to_numpy()
+        full = (x == 255).any(1)
+        for i in range(len(ids) - 1):
+            other = np.arange(i + 1, len(ids))
+            other = other[(root[other] != root[i]) & ~done[other] & (np.minimum(n[other], n[i]) * den >= np.maximum(n[other], n[i]) * num) & ~(np.abs(near[other] - near[i]) > 1 - num / den + SLACK)]
+            if done[i] or not len(other):
+                continue
+            most = np.where(full[other] | full[i], np.minimum(n[other], n[i]), np.minimum(x[other], x[i]).sum(1, dtype=np.int64))
+            out += [(int(ids[j]), int(ids[i])) for j in other[den * most >= num * (n[other] + n[i] - most)]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            r, out = f["region"].to_numpy(), []
+            cuts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                pairs(f.iloc[a:b], out)
+            rest = f.iloc[cuts[-1] :] if cuts else None  # may go on in the next batch
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if rest is not None:
+            out = []
+            pairs(rest, out)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _join_regions(num: int, den: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(m, "<u8") for m in x["members"]]
@@ -336,112 +343,128 @@ def _pieces(x: DataFrame) -> DataFrame:
     return x.withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other"))
 
 
+def _join_open(x: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """links with those between sets of one region of x (region, id, n, pivot, near) that are not of one class by them."""
+    for level in range(1, MOST_LEVELS + 1):
+        roots = components(links)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the next level starts from these stars
+        x = x.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = x.groupBy("region").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        x = save(x.join(open_.select("region", "count", "shingles"), "region"), "open")
+        if x.isEmpty():
+            return links
+        last = level == MOST_LEVELS
+        small = x.where(F.col("count") <= LEAF).join(sets.select("id", "sketch"), "id").select("region", "id", "n", "root", "pivot", "near", "sketch")
+        small = small.repartition("region").sortWithinPartitions("region")
+        pairs = save(small.mapInPandas(tidy(_close_pairs(num, den)), "a long, b long").distinct(), "pairs")
+        links = links.union(_compare(pairs, sets, num, den).where("link").select("a", "b"))
+        # Regions with the same sets are one.
+        fits = (F.col("count") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
+        middle = x.where((F.col("count") > LEAF) & (F.lit(last) | fits))
+        alike = middle.groupBy("region").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("h2"), F.count("*").alias("k"))
+        alike = alike.groupBy("h", "h2", "k").agg(F.min("region").alias("region")).select("region")
+        middle = save(_pieces(middle.join(alike, "region")), "middle")
+        if not middle.isEmpty():
+            ids = save(middle.select("id").distinct(), "ids")
+            joined = middle.join(_only(sets, ids).select("id", "members"), "id")
+            joined = joined.select("region", "i", "j", "id", "root", "near", "members").groupBy("region", "i", "j").applyInPandas(_join_regions(num, den), "a long, b long")
+            links = links.union(save(joined, "links"))
+        large = x.where((F.col("count") > LEAF) & ~fits)
+        if last or large.isEmpty():
+            return links
+        mine = large.groupBy("id").agg(F.collect_set("region").alias("regions"))  # as many as a set has parts
+        # Written, as it is read twice and costs Python time.
+        split = save(sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long"), "split")
+        several = split.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
+        # No pivot has been measured in the new regions: near is alike for all, which leaves windows by size alone.
+        x = save(split.join(several, "region").join(sets.select("id", "n"), "id").select("region", "id", "n", F.lit(-1).cast("long").alias("pivot"), F.lit(0.0).alias("near")), "regions")
+        discard(split)
+    return links
+
+
+def _met(one: DataFrame) -> DataFrame:
+    """(id, pivot) of sets and the pivots that they share two shown shingles with, or one if they show few."""
+    show = one.select("id", "h1", F.size("show").alias("k"), F.explode("show").alias("key"))
+    pivots = show.groupBy("key").agg(F.count("*").alias("many"), F.min_by("id", F.struct("h1", "id")).alias("pivot")).where("many > 1").select("key", "pivot")
+    met = show.join(pivots, "key").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("times"), F.first("k").alias("k"))
+    return met.where((F.col("times") >= 2) | (F.col("k") <= MEETS // 2)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+
 def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text).
 
     Sets link when den * common >= num * union. component_id is the smallest doc_id that links reach, the
     row's own included. Texts without words, or null, have empty sets and link with nothing; texts with fewer
     words than a shingle have one shingle; rows with equal texts link. A null doc_id stands first and its
-    component is null. Other columns are left out; an empty table gives an empty result.
+    component is null. Other columns are left out; an empty table gives an empty result. The log tells how many
+    sets pivots' regions have joined to others, and how many the keys have added.
     """
     blocks = to_blocks(docs)
     parts = parts_for(blocks)
-    rows = save(map_blocks(blocks, _describe(words), "uid long, doc_id long, n long, h1 long, h2 long"), "sets")
+    rows = save(map_blocks(blocks, _describe(words), "uid long, doc_id long, n long, h1 long, h2 long, show array<long>"), "sets")
+    n_rows = rows.count()
     # Equal sets are one, called by its first row.
     name = ["n", "h1", "h2"]
-    one = save(rows.where("n > 0").groupBy(*name).agg(F.min("uid").alias("id"), F.min("doc_id").alias("least")), "distinct")
+    one = save(rows.where("n > 0").groupBy(*name).agg(F.min("uid").alias("id"), F.min("doc_id").alias("least"), F.any_value("show").alias("show")), "distinct")
 
     def in_blocks(ids: DataFrame) -> DataFrame:
-        """blocks with the places of some sets; a block's rows bound the list."""
+        """blocks with a bitmap of some sets' places; blocks themselves move only where bitmaps are large."""
         at = ids.select(F.shiftright("id", 20).alias("block"), (F.col("id") % BLOCK_DOCS).cast("int").alias("place"))
-        return blocks.join(at.groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("take")), "block")
+        marks = save(at.groupBy("block").agg(F.collect_list("place").alias("places")).mapInPandas(_marks, "block long, take binary"), "marks")
+        return blocks.join(F.broadcast(marks) if n_rows <= MOST_MARKED else marks, "block")
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for block, payload, take in zip(f["block"], f["payload"], f["take"], strict=True):
-                s = Sets(payload, words).sets
-                yield pd.DataFrame({"id": [block * BLOCK_DOCS + int(i) for i in take], "n": [len(s[i]) for i in take], "members": [s[i].astype("<u8").tobytes() for i in take], "sketch": [sketch(s[i]) for i in take]})
+                s, at = Sets(payload, words).sets, taken(take).tolist()
+                yield pd.DataFrame({"id": [block * BLOCK_DOCS + i for i in at], "n": [len(s[i]) for i in at], "members": [s[i].astype("<u8").tobytes() for i in at], "sketch": [sketch(s[i]) for i in at]})
 
     def members(ids: DataFrame) -> DataFrame:
-        return in_blocks(ids).mapInPandas(tidy(pick), "id long, n long, members binary, sketch binary")
-
-    sample = one.where(F.col("n") <= PIVOT_SHINGLES).orderBy("h1", "h2").limit(PIVOTS).select("id")
-    got = members(sample).orderBy("id").toArrow().to_pydict()  # PIVOTS sets of bounded size
-    pivots = Pivots(*apart(got["id"], [np.frombuffer(m, "<u8") for m in got["members"]], num, den))
-    all_sets = in_blocks(one)
-    cells = save(all_sets.mapInPandas(tidy(_cells(words, num, den, pivots)), "region long, id long, n long, pivot long, near double, link boolean"), "cells")
-    sent = all_sets.mapInPandas(tidy(_send(words, num, den, parts, pivots)), PART_SCHEMA)
-    found = at_parts(sent, _regions, "region long, members array<long>")
-    found = save(found.groupBy(F.xxhash64("members").alias("h"), F.hash("members").alias("h2"), F.size("members").alias("size")).agg(F.first("members").alias("members"), F.min("region").alias("region")), "found")
-    sets = save(members(found.select(F.explode("members").alias("id")).distinct()), "members", "none")
-
-    # The pivot of a region of the filter: the set that shares most regions, as the origin of a family of copies does.
-    flat = found.select("region", "size", F.explode("members").alias("id"))
+        return save(in_blocks(ids).mapInPandas(tidy(pick), "id long, n long, members binary, sketch binary"), "members", "none")
+
+    # Voronoi regions of the pivots, and their boundary sets.
+    met = save(_met(one), "met")
+    sets = members(met.select(F.col("a").alias("id")).union(met.select("b")).distinct())
+    done = _compare(met, sets, num, den, REACH)
+    links = done.where("link").select("a", "b")
+    window = F.least(F.lit(REACH * (1 - num / den)), F.col("least") + 2 * (1 - num / den)) + SLACK
+    least = done.groupBy("a").agg(F.min("near").alias("least"))
+    cells = done.join(least, "a").where(F.col("near") <= window).select(F.col("b").alias("region"), F.col("a").alias("id"), F.col("b").alias("pivot"), "near")
+    own = cells.select("region", F.col("region").alias("id"), F.col("region").alias("pivot"), F.lit(0.0).alias("near")).distinct()
+    cells = save(cells.unionByName(own).join(one.select("id", "n"), "id").select("region", "id", "n", "pivot", "near"), "cells")
+    links = save(_join_open(cells, links, sets, num, den), "links")
+    roots = components(links).withColumnRenamed("node", "id")
+    by_pivots = roots.where("id <> root").count()
+    discard(met, done, cells, sets)
+
+    # The rest: regions of equal parts with sets of several classes. A region's pivot shares most regions, as the
+    # origin of a family of copies does.
+    sent = in_blocks(one).mapInPandas(tidy(_send(words, num, den, parts)), PART_SCHEMA)
+    found = save(at_parts(sent, _regions, "region long, id long").distinct(), "found")
+    flat = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = flat.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("region", "size")
+    flat = save(found.join(several, "region"), "several")
+    sets = members(flat.select("id").distinct())
     weight = flat.groupBy("id").agg(F.count("*").alias("weight"))
     pivot = flat.join(weight, "id").groupBy("region").agg(F.max(F.struct("weight", "id")).getField("id").alias("pivot"))
     regions = save(flat.join(pivot, "region"), "regions")
-    pairs = regions.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    done = _compare(pairs, sets, num, den)
-    discard(found)
-    links = done.where("link").select("a", "b").unionByName(cells.where("link and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-
+    done = _compare(regions.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, num, den)
     # A region of two is done where one is its pivot.
     at = done.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "near")
     x = regions.where("size > 2").join(at, ["id", "pivot"], "left").join(one.select("id", "n"), "id")
     x = x.select("region", "id", "n", "pivot", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("near")).alias("near"))
-    x = x.unionByName(cells.select("region", "id", "n", "pivot", "near"))
-    # What the windows of the pivots leave open.
-    for level in range(1, MOST_LEVELS + 1):
-        roots = components(links)
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the next level starts from these stars
-        x = x.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = x.groupBy("region").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        x = save(x.join(open_.select("region", "count", "shingles"), "region"), "open")
-        if level == 1:  # sets of the pivots' open regions, which the filter hasn't asked for
-            more = x.where("region < 0").select("id").distinct().join(sets.select("id"), "id", "left_anti")
-            sets = sets.unionByName(save(members(more), "members", "none"))
-        last = level == MOST_LEVELS
-        small = x.where(F.col("count") <= LEAF)
-        l, r = small.alias("l"), small.alias("r")
-        rest = l.join(r, F.col("l.region") == F.col("r.region")).where(
-            (F.col("l.id") < F.col("r.id"))
-            & (F.col("l.root") != F.col("r.root"))
-            & (F.col("l.id") != F.col("l.pivot"))
-            & (F.col("r.id") != F.col("r.pivot"))
-            & F.coalesce(F.abs(F.col("l.near") - F.col("r.near")) <= 1 - num / den + SLACK, F.lit(True))
-            & (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num)
-        )
-        rest = rest.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-        links = links.union(_compare(rest, sets, num, den).where("link").select("a", "b"))
-        # Regions with the same sets are one.
-        fits = (F.col("count") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
-        middle = x.where((F.col("count") > LEAF) & (F.lit(last) | fits))
-        alike = middle.groupBy("region").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("h2"), F.count("*").alias("k"))
-        alike = alike.groupBy("h", "h2", "k").agg(F.min("region").alias("region")).select("region")
-        middle = save(_pieces(middle.join(alike, "region")), "middle")
-        ids = save(middle.select("id").distinct(), "ids")
-        middle = middle.join(_only(sets, ids).select("id", "members"), "id")
-        joined = middle.select("region", "i", "j", "id", "root", "near", "members").groupBy("region", "i", "j").applyInPandas(_join_regions(num, den), "a long, b long")
-        links = links.union(save(joined, "links"))
-        large = x.where((F.col("count") > LEAF) & ~fits)
-        if last or large.isEmpty():
-            break
-        mine = large.groupBy("id").agg(F.collect_set("region").alias("regions"))  # as many as a set has parts
-        # Written, as it is read twice and costs Python time.
-        split = save(sets.join(mine, "id").mapInPandas(tidy(_split_again(num, den, level)), "region long, id long"), "split")
-        several = split.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
-        # No pivot has been measured in the new regions: near is alike for all, which leaves windows by size alone.
-        x = save(split.join(several, "region").join(sets.select("id", "n"), "id").select("region", "id", "n", F.lit(-1).cast("long").alias("pivot"), F.lit(0.0).alias("near")), "regions")
-        discard(split)
+    links = links.union(done.where("link").select("a", "b"))
+    links = save(_join_open(x, links, sets, num, den), "links")
 
     roots = components(links).withColumnRenamed("node", "id")
+    log.info("sets joined to others: %d in regions of pivots, %d more by keys of parts", by_pivots, roots.where("id <> root").count() - by_pivots)
     classes = one.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     classes = classes.join(least, "root").select(*name, "component")
     out = rows.where("n > 0").join(classes, name).select("doc_id", "n", "component").unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = save(out.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id")), "classes")
-    discard(blocks, rows, one, cells, regions, done, sets)
+    discard(blocks, rows, one, found, flat, regions, done, sets)
     return out
 
 
