@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_memory, partitions, save, tidy
+from .common import bound_batches, free_memory, lean_memory, partitions, save, tidy
 
 BLOCK_BYTES = 4_000_000
 BLOCK_DOCS = 1 << 20
@@ -139,6 +139,7 @@ def at_parts(sent: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema:
     """f of all that blocks have sent to a key range; parts_for() bounds the expected size of one."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
+        lean_memory()
         out = f(x.sort_values("block", ignore_index=True))
         free_memory()
         return out
@@ -150,6 +151,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, f: Callable[[int, bytes,
     """f(block, payload, {part: answer}) of every block."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        lean_memory()
         out = f(int(a["block"].iloc[0]), a["payload"].iloc[0], dict(zip(b["part"].tolist(), b["payload"], strict=True)))
         free_memory()
         return out

@@ -50,15 +50,35 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def free_memory() -> None:
-    """Give what a Python worker has freed back to the system: workers live on, and the next stage needs it elsewhere."""
+def _c_library():
+    """The C library if it is the one that has both calls used here, or None."""
+    try:
+        lib = ctypes.CDLL(None)
+        return lib if hasattr(lib, "malloc_trim") and hasattr(lib, "mallopt") else None
+    except OSError:
+        return None
+
+
+#: mallopt's parameter for the least size of allocations that go back to the system when freed, and that size.
+_MMAP_THRESHOLD, _LARGE = -3, 1 << 20
+
+
+@functools.lru_cache(1)
+def lean_memory() -> None:
+    """From now on large arrays of this process go back to the system as soon as they are freed: a worker's two or
+    three dead arrays are what the next one lacks."""
     import pyarrow as pa
 
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+    if lib := _c_library():
+        lib.mallopt(_MMAP_THRESHOLD, _LARGE)
+
+
+def free_memory() -> None:
+    """Give what a Python worker has freed back to the system: workers live on, and the next stage needs it elsewhere."""
+    lean_memory()
+    if lib := _c_library():
+        lib.malloc_trim(0)
 
 
 def tidy(run: Callable) -> Callable[[Iterator], Iterator]:
@@ -66,6 +86,7 @@ def tidy(run: Callable) -> Callable[[Iterator], Iterator]:
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        lean_memory()
         yield from run(batches)
         free_memory()
 

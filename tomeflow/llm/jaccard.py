@@ -31,6 +31,8 @@ from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, at_parts, block_words, joi
 from .common import discard, free_memory, save, tidy
 from .components import components
 
+#: Bytes of texts in a block: a task holds one block's sets, and its compressed bytes stay small for the JVM.
+BLOCK_BYTES = 1_000_000
 #: Shingles that a set shows to meet pivots, a power of two; how many radii a pivot's region reaches.
 MEETS, REACH = 8, 3
 #: Open pairs of regions of up to LEAF sets are compared one by one, those of regions of up to GROUP sets (and
@@ -399,7 +401,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
     component is null. Other columns are left out; an empty table gives an empty result. The log tells how many
     sets pivots' regions have joined to others, and how many the keys have added.
     """
-    blocks = to_blocks(docs)
+    blocks = to_blocks(docs, block_bytes=BLOCK_BYTES)
     parts = parts_for(blocks)
     rows = save(map_blocks(blocks, _describe(words), "uid long, doc_id long, n long, h1 long, h2 long, show array<long>"), "sets")
     n_rows = rows.count()
