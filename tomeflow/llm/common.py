@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD_SEP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of rows that go to Python at a time: texts differ in length too much for a number of rows to bound them.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,7 +60,7 @@ def _c_library():
 
 
 #: mallopt's parameter for the least size of allocations that go back to the system when freed, and that size.
-_MMAP_THRESHOLD, _LARGE = -3, 1 << 20
+_MMAP_THRESHOLD, _LARGE = -3, 8 << 20
 
 
 @functools.lru_cache(1)
