@@ -2,240 +2,112 @@
 
 A rule reads, from loose to tight: branches parted by || (first that isn't blank), parts parted by && (joined
 by line ends), a template with {{$.path}} holes, and a source with an optional ##pattern##replacement suffix.
-Sources: $.path (JSON, see jsonpath), :regex (first group of a match), or a selector chain over HTML such as
-`article h1@text` and `nav a@href`. JSON, regex and templates stay in built-in functions; only selectors run
-in Python, over Arrow batches.
+Sources: $.path (JSON, see jsonpath), :regex (first group of a match), or a page rule (see pagerules) such as
+`article h1@text`, `class.list@tag.li.0@href` and `//nav//a/@href`. JSON, regex and templates stay in built-in
+functions; only page rules run in Python, over Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from html import escape, unescape
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import jsonpath
+from . import jsonpath, pagerules
+from .markup import parse
 
-#: Elements without content, and those whose end breaks a line of text.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose begin and end break a line of text.
 BLOCK = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote"
 
 
-#: Elements that end, unclosed, where one of these begins; and what they never reach beyond.
-ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SCOPE = frozenset("ul ol dl table select div section article nav body html".split())
-
-
-class Node:
-    """An element: its children are elements and pieces of text."""
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-    def walk(self) -> Iterator[Node]:
-        for c in self.elements():
-            yield c
-            yield from c.walk()
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children if isinstance(c, str) or c.tag not in ("script", "style"))
-
-    def html(self) -> str:
-        return "".join(escape(c, False) if isinstance(c, str) else c.outer() for c in self.children)
-
-    def outer(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.html()}</{self.tag}>")
-
-
-class _Tree(HTMLParser):
-    """Elements in document order; what the next element ends by its kind is ended there, the rest with its parent."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def _end(self, fits: Callable[[str], bool]) -> None:
-        node = self.at
-        while node.parent is not None:
-            if fits(node.tag):
-                self.at = node.parent
-                return
-            if node.tag in SCOPE:
-                return
-            node = node.parent
-
-    def handle_starttag(self, tag, attrs):
-        self._end(lambda t: tag in ENDED_BY.get(t, ()))
-        if tag in ENDS_P:
-            self._end(lambda t: t == "p")
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-_SIMPLE = re.compile(r"#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[\^$*~]?=)(?P<val>[^\]]*))?\]|:(?P<pseudo>[\w-]+)(?:\((?P<arg>[^()]*)\))?|(?P<tag>\*|[A-Za-z][\w-]*)")
-_LINK = re.compile(r"\s*([>+~])\s*|\s+")
-
-
-def _holds(node: Node, m: re.Match) -> bool:
-    """Whether an element meets one simple selector."""
-    if m["tag"]:
-        return m["tag"] in ("*", node.tag)
-    if m["id"]:
-        return node.attrs.get("id") == m["id"]
-    if m["cls"]:
-        return m["cls"] in node.attrs.get("class", "").split()
-    if m["attr"]:
-        have, want = node.attrs.get(m["attr"]), (m["val"] or "").strip("'\"")
-        if have is None or m["op"] is None:
-            return have is not None
-        return {"=": have == want, "^=": have.startswith(want), "$=": have.endswith(want), "*=": want in have, "~=": re.search(want, have) is not None}[m["op"]]
-    kin = node.parent.elements() if node.parent else [node]
-    place, kind, arg = kin.index(node), m["pseudo"], m["arg"] or ""
-    if kind == "nth-child":
-        return place % 2 == {"odd": 0, "even": 1}[arg] if arg in ("odd", "even") else place + 1 == int(arg)
-    if kind == "not":
-        return not all(_holds(node, x) for x in _SIMPLE.finditer(arg))
-    tests = {"first-child": place == 0, "last-child": place == len(kin) - 1, "contains": arg in node.text(), "has": any(all(_holds(c, x) for x in _SIMPLE.finditer(arg)) for c in node.walk()), "empty": not node.children}
-    if kind not in tests:
-        raise ValueError(f"unsupported pseudo class: {kind}")
-    return tests[kind]
-
-
-def compile_selector(selector: str) -> list[tuple[str, list[re.Match]]]:
-    """(combinator, simple selectors) of each step."""
-    out, at, link = [], 0, " "
-    selector = selector.strip()
-    while at < len(selector):
-        step = []
-        while m := _SIMPLE.match(selector, at):
-            step.append(m)
-            at = m.end()
-        if not step:
-            raise ValueError(f"unsupported selector: {selector}")
-        out.append((link, step))
-        if m := _LINK.match(selector, at):
-            link, at = m[1] or " ", m.end()
-    return out
-
-
-def _fits(node: Node, steps: list, k: int) -> bool:
-    """Whether an element ends the first k + 1 steps."""
-    link, step = steps[k]
-    if not all(_holds(node, m) for m in step):
-        return False
-    if k == 0:
-        return True
-    if link in "+~":
-        kin = node.parent.elements()
-        before = kin[: kin.index(node)]
-        return any(_fits(x, steps, k - 1) for x in (before[-1:] if link == "+" else before))
-    up = node.parent
-    while up is not None and up.parent is not None:
-        if _fits(up, steps, k - 1):
-            return True
-        if link == ">":
-            return False
-        up = up.parent
-    return False
-
-
-def _value(node: Node, what: str) -> str | None:
-    squeeze = lambda t: " ".join(t.split())
-    if what in ("", "text"):
-        return squeeze(node.text())
-    if what == "ownText":
-        return squeeze(" ".join(c for c in node.children if isinstance(c, str)))
-    if what == "textNodes":
-        return "\n".join(filter(None, (squeeze(c) for c in node.children if isinstance(c, str))))
-    if what in ("html", "all"):
-        return node.html() if what == "html" else node.outer()
-    return node.attrs.get(what)
-
-
 def select(html: str, selector: str) -> list[str]:
-    """Values of the elements that a selector finds, in document order.
-
-    Steps are parted by blanks, >, + or ~; a step is tag, #id, .class, [attr], [attr=v] (^= $= *= ~=), :first-child,
-    :last-child, :nth-child(n), :contains(t), :has(s), :not(s). @text (squeezed), @ownText, @textNodes, @html, @all or
-    an attribute's name tells what is taken; !n after it, a place from 0 or, if negative, from the end.
-    """
-    chain, _, what = selector.rpartition("@") if "@" in selector else (selector, "", "")
-    what, _, place = what.partition("!")
-    steps = compile_selector(chain)
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    found = [v for n in tree.root.walk() if _fits(n, steps, len(steps) - 1) if (v := _value(n, what)) is not None]
-    if not place:
-        return found
-    return [found[int(place)]] if -len(found) <= int(place) < len(found) else []
+    """Values that a page rule finds, in document order; see pagerules for how rules are written."""
+    return pagerules.rule(selector).values(parse(html or ""))
 
 
 def select_all(html: Column, selector: str) -> Column:
-    """All values that the selector finds, in document order."""
-
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series([select(h or "", selector) for h in b], dtype=object)
-
-    return run(html)
+    """All values that the rule finds, in document order; none on a page that it fails on."""
+    return F.coalesce(F.get(pagerules.find_values(html, [selector]), 0), F.array().cast("array<string>"))
+
+
+def split_outside(rule: str, by: str) -> list[str]:
+    """Parts of a rule between separators that stand outside brackets and quotes; all of them if those don't close."""
+    out, depth, quote, last, i = [], 0, "", 0, 0
+    while i < len(rule):
+        c = rule[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif not depth and rule.startswith(by, i):
+            out.append(rule[last:i])
+            last = i = i + len(by)
+            continue
+        i += 1
+    return rule.split(by) if depth or quote else [*out, rule[last:]]
+
+
+def _is_page_rule(source: str) -> bool:
+    return not source.startswith(("$", ":")) and ("@" in source or source.startswith(("/", "./")))
+
+
+def page_sources(rule: str) -> list[str]:
+    """The sources of a rule that read a page."""
+    out = []
+    for branch in split_outside(rule, "||"):
+        for part in split_outside(branch, "&&"):
+            source = part.split("##")[0]
+            out += [p for p in (re.findall(r"\{\{(.*?)\}\}", source) if "{{" in source else [source]) if _is_page_rule(p)]
+    return out
 
 
-def _source(rule: str, c: Column) -> Column:
+def _source(rule: str, c: Column, found: dict[str, Column]) -> Column:
+    if rule in found:
+        return F.get(found[rule], 0)
     if rule.startswith("$"):
         return jsonpath.find(c, rule)
     if rule.startswith(":"):
         return F.nullif(F.regexp_extract(c, rule[1:], 1), F.lit(""))
-    if "@" in rule:
+    if _is_page_rule(rule):
         return F.get(select_all(c, rule), 0)
     return F.lit(rule)
 
 
-def compile_rule(rule: str, c: Column) -> Column:
-    """The value that a rule finds in a column; null if it finds nothing."""
-    branches = rule.split("||")
+def compile_rule(rule: str, c: Column, found: dict[str, Column] | None = None) -> Column:
+    """The value that a rule finds in a column; null if it finds nothing. found: values of sources read before."""
+    found = found or {}
+    branches = split_outside(rule, "||")
     if len(branches) > 1:
-        return F.coalesce(*[F.nullif(F.btrim(compile_rule(b, c)), F.lit("")) for b in branches])
-    parts = rule.split("&&")
+        return F.coalesce(*[F.nullif(F.btrim(compile_rule(b, c, found)), F.lit("")) for b in branches])
+    parts = split_outside(rule, "&&")
     if len(parts) > 1:
-        found = F.array(*[F.nullif(F.btrim(compile_rule(p, c)), F.lit("")) for p in parts])
+        found = F.array(*[F.nullif(F.btrim(compile_rule(p, c, found)), F.lit("")) for p in parts])
         return F.nullif(F.array_join(F.array_compact(found), "\n"), F.lit(""))
     source, *suffix = rule.split("##")
     if "{{" in source:
         pieces = re.split(r"\{\{(.*?)\}\}", source)
-        value = F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(_source(p, c), F.lit("")) for i, p in enumerate(pieces) if p])
+        value = F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(_source(p, c, found), F.lit("")) for i, p in enumerate(pieces) if p])
     else:
-        value = _source(source, c)
+        value = _source(source, c, found)
     if suffix:
         value = F.regexp_replace(value, suffix[0], suffix[1] if len(suffix) > 1 else "")
     return value
 
 
 def extract(pages: DataFrame, c: str, fields: dict[str, str], core: tuple[str, ...] = ()) -> DataFrame:
-    """pages with a column for each rule; rows that miss a core field go."""
-    out = pages.select("*", *[compile_rule(r, F.col(c)).alias(n) for n, r in fields.items()])
+    """pages with a column for each rule; rows that miss a core field go. A page is parsed once for all fields."""
+    sources = sorted({p for r in fields.values() for p in page_sources(r)})
+    found = pagerules.find_values(F.col(c), sources) if sources else None
+    read = {p: F.get(found, i) for i, p in enumerate(sources)}
+    out = pages.select("*", *[compile_rule(r, F.col(c), read).alias(n) for n, r in fields.items()])
     for n in core:
         out = out.where(F.col(n).isNotNull() & (F.btrim(n) != ""))
     return out

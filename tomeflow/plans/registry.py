@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, more, pool, texts
+from . import library, more, pages, pool, texts
 
-MODULES = (library, texts, pool, more)
+MODULES = (library, texts, pool, more, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
