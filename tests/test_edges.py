@@ -133,3 +133,32 @@ def test_streams_of_folders_and_nothing(spark, tmp_path):
     e.where("false").write.parquet(str(tmp_path / "none" / "events.parquet"))
     assert V.run_once(spark, V.last_write(V.read_events(spark, str(tmp_path / "many"))), "complete", str(tmp_path)).count() == e.select("user_id").distinct().count()
     assert V.run_once(spark, V.first_of_day(V.read_events(spark, str(tmp_path / "none"))), "append", str(tmp_path)).count() == 0
+
+
+def test_suspects_across_batches(spark, tmp_path):
+    """Failures in several batches, out of order within what may come late; too late, null and repeated events."""
+    from tomeflow.streaming import health as H
+
+    at = lambda minute: f"2024-05-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    batches = [
+        [(1, at(10), 7, "error"), (3, at(30), 7, "error"), (4, at(10), 8, "error"), (4, at(10), 8, "error"), (90, None, 7, "error"), (91, at(20), None, "error")],
+        [(2, at(20), 7, "error"), (5, at(12), 8, "view"), (6, at(14), 8, "error"), (7, at(15), 8, None), (8, at(60), 7, "error")],
+        [(9, at(200), 7, "error"), (10, at(300), 9, "view"), (11, at(35), 7, "error")],
+        [(14, at(400), 9, "view")],
+        [(12, at(5), 7, "error"), (13, at(1200), 9, "view")],
+    ]
+    path = str(tmp_path / "events")
+    for b in batches:
+        rows = spark.createDataFrame([(*r, 1.0, "{}") for r in b], "event_id long, ts string, user_id long, event_type string, value double, props string")
+        rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(V.EVENTS).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    before = spark.conf.get(H.PROVIDER, None)
+    with H.timed_state(spark):
+        out = V.run_once(spark, H.suspects(stream, "60 minutes", 2, 20 * 60_000, 120 * 60_000), "append", str(tmp_path))
+    # 7: suspect at 20, still at 30 and 35, anew at 60; forgotten by 200. 8: cleared at 12 and 15.
+    assert rows_of_suspects(out) == [(7, 2, 2), (7, 8, 5)]
+    assert spark.conf.get(H.PROVIDER, None) == before
+
+
+def rows_of_suspects(out):
+    return sorted(tuple(r) for r in out.select("user_id", "event_id", "failures").collect())
