@@ -95,7 +95,7 @@ def test_suffix_dedup_odd_rows(spark):
 @pytest.mark.parametrize("which", ["made", "sf"])
 def test_jaccard(spark, words, num, den, which, monkeypatch):
     if which == "made":  # small regions, so that each way of joining them is taken
-        for name, value in (("LEAF", 2), ("GROUP", 5), ("MOST_LEVELS", 2), ("MOST_MARKED", 0 if words == 3 else 1 << 28)):
+        for name, value in (("LEAF", 2), ("GROUP", 5), ("MOST_LEVELS", 2), ("MOST_PIECES", 1 if words == 3 else 3), ("MOST_MARKED", 0 if words == 3 else 1 << 28)):
             monkeypatch.setattr(jaccard, name, value)
     rows = made_texts() if which == "made" else documents()
     got = jaccard.jaccard_join(frame(spark, rows).repartition(3), words, num, den)
@@ -125,6 +125,7 @@ def test_jaccard_split_regions_of_two(spark, monkeypatch):
     """Texts of one template: some linked pairs share only regions that are split, and then meet alone."""
     monkeypatch.setattr(jaccard, "LEAF", 2)
     monkeypatch.setattr(jaccard, "GROUP", 5)
+    monkeypatch.setattr(jaccard, "MOST_PIECES", 1)
     rows = []
     for i in range(80):
         text = f"we sell the best goods in the whole {i}p {i}q {i}r {i}s"

@@ -36,10 +36,11 @@ BLOCK_BYTES = 1_000_000
 #: Shingles that a set shows to meet pivots, a power of two; how many radii a pivot's region reaches.
 MEETS, REACH = 8, 3
 #: Open pairs of regions of up to LEAF sets are compared one by one, those of regions of up to GROUP sets (and
-#: GROUP_SHINGLES shingles) in one task each, around further pivots; larger regions are split again up to
-#: MOST_LEVELS times, and then cut into pieces that meet two by two.
+#: GROUP_SHINGLES shingles) in one task each, around further pivots; regions of up to MOST_PIECES times that are cut
+#: into pieces that meet two by two, which copies a set once a piece. Splitting by keys copies it once a part, tens of
+#: times, so only larger regions are split, up to MOST_LEVELS times, and what stays larger is cut into pieces too.
 LEAF, GROUP, GROUP_SHINGLES = 64, 2048, 4_000_000
-MOST_LEVELS = 3
+MOST_PIECES, MOST_LEVELS = 8, 3
 #: Cells of a set's sketch; ids up to which a list of them is broadcast.
 CELLS, MOST_BROADCAST = 256, 1_000_000
 #: Rows of blocks up to which their bitmap is broadcast (32 MB); beyond, blocks are shuffled to it.
@@ -361,7 +362,7 @@ def _join_open(x: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: i
         pairs = save(small.mapInPandas(tidy(_close_pairs(num, den)), "a long, b long").distinct(), "pairs")
         links = links.union(_compare(pairs, sets, num, den).where("link").select("a", "b"))
         # Regions with the same sets are one.
-        fits = (F.col("count") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)
+        fits = (F.col("count") <= GROUP * MOST_PIECES) & (F.col("shingles") <= GROUP_SHINGLES * MOST_PIECES)
         middle = x.where((F.col("count") > LEAF) & (F.lit(last) | fits))
         alike = middle.groupBy("region").agg(F.bit_xor(F.xxhash64("id")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("h2"), F.count("*").alias("k"))
         alike = alike.groupBy("h", "h2", "k").agg(F.min("region").alias("region")).select("region")
