@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, more, pages, pool, streams, texts
+from . import books, library, more, pages, pool, streams, texts
 
-MODULES = (library, texts, pool, more, pages, streams)
+MODULES = (library, texts, pool, more, pages, streams, books)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
