@@ -81,6 +81,13 @@ def free_memory() -> None:
         lib.malloc_trim(0)
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Have executors' JVMs collect garbage, so that heap which a stage has grown and left goes back to the system:
+    Python workers of the next stage live beside the heap. A task a core, a second or so; changes no result."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).agg(F.count("x")).collect()
+
+
 def tidy(run: Callable) -> Callable[[Iterator], Iterator]:
     """run, a function of an iterator of batches, with free_memory() at its end."""
 

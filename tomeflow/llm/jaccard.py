@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_DOCS, NULL_ID, PART_SCHEMA, at_parts, block_words, join_values, map_blocks, mix, parts_for, parts_of, read_block, split_values, squeeze_array, squeeze_keys, to_blocks, unsqueeze_array, unsqueeze_keys
-from .common import discard, free_memory, save, tidy
+from .common import discard, free_heaps, free_memory, save, tidy
 from .components import components
 
 #: Bytes of texts in a block: a task holds one block's sets, and its compressed bytes stay small for the JVM.
@@ -439,6 +439,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100)
     roots = components(links).withColumnRenamed("node", "id")
     by_pivots = roots.where("id <> root").count()
     discard(met, done, cells, sets)
+    free_heaps(docs.sparkSession)
 
     # The rest: regions of equal parts with sets of several classes. A region's pivot shares most regions, as the
     # origin of a family of copies does.
