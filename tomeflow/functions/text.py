@@ -40,6 +40,11 @@ def squash_controls(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), " +", " "))
 
 
+def btrim_blanks(c: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(c, r"^[\s\x{A0}\x{3000}\x{FEFF}]+|[\s\x{A0}\x{3000}\x{FEFF}]+$", "")
+
+
 def first_non_blank(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(F.btrim(c), F.lit("")) for c in cols])
 

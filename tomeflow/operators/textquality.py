@@ -97,9 +97,11 @@ def contained_items(docs: DataFrame, doc_key: str, items: DataFrame, item_key: s
 def similar_titles(rows: DataFrame, key: str, title: str, block: str, least: float = 0.7, n: int = 2) -> DataFrame:
     """(a, b, score): titles of a block whose n-gram sets have this Jaccard similarity, by rarest-gram prefixes.
 
-    Equal loose titles are one before the join, so a common title costs one row.
+    Equal loose titles are one before the join, so a common title costs one row; one of less than n characters is a
+    single gram.
     """
-    x = rows.select(key, block, X.loose_key(F.col(title)).alias("k"), X.char_ngrams(F.col(title), n).alias("grams")).where(F.size("grams") > 0)
+    x = rows.select(key, block, X.loose_key(F.col(title)).alias("k"), X.char_ngrams(F.col(title), n).alias("grams")).where("k <> ''")
+    x = x.withColumn("grams", F.when(F.size("grams") > 0, F.col("grams")).otherwise(F.array("k")))
     x = x.groupBy(block, "k").agg(F.min(key).alias("id"), F.first("grams").alias("grams"))
     size = F.size("grams")
     prefix = size - F.ceil(F.lit(least) * size).cast("int") + 1

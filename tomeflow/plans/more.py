@@ -129,8 +129,8 @@ def position_mismatch_ratio(s, d):
     return c.join(o, ["conv_id", "turn"]).groupBy("conv_id").agg(F.round(F.avg((F.col("role") != F.col("other")).cast("int")), 6).alias("ratio"))
 
 
-def backfill_plan(s, d):
-    """Days without an event between the first and the last, in order."""
+def event_days(s, d):
+    """Every day between the first event and the last, with its events."""
     days = t(s, d, "events").select(F.to_date("ts").alias("day"))
     span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
     busy = days.groupBy("day").agg(F.count("*").alias("n"))
@@ -167,7 +167,7 @@ SQL = {
     "defer_finish_transitions": "SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' AND o_orderkey % 4 < 3 THEN 'deferred' WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'pending' END AS next, count(*) AS n FROM orders GROUP BY 1, 2",
     "retest_decay": "SELECT user_id, CAST(least(30, pow(2, least(count(*) FILTER (WHERE event_type = 'error'), 20))) AS INT) AS wait_days FROM events GROUP BY 1",
     "position_mismatch_ratio": "SELECT a.conv_id, round(avg(CASE WHEN a.role <> b.role THEN 1 ELSE 0 END), 6) AS ratio FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id + 1 AND a.turn = b.turn GROUP BY 1",
-    "backfill_plan": "SELECT CAST(g AS DATE) AS day, count(ts) AS n FROM (SELECT unnest(generate_series(CAST(a AS DATE), CAST(b AS DATE), INTERVAL 1 DAY)) AS g FROM (SELECT min(ts) AS a, max(ts) AS b FROM events)) LEFT JOIN events ON CAST(ts AS DATE) = CAST(g AS DATE) GROUP BY 1",
+    "event_days": "SELECT CAST(g AS DATE) AS day, count(ts) AS n FROM (SELECT unnest(generate_series(CAST(a AS DATE), CAST(b AS DATE), INTERVAL 1 DAY)) AS g FROM (SELECT min(ts) AS a, max(ts) AS b FROM events)) LEFT JOIN events ON CAST(ts AS DATE) = CAST(g AS DATE) GROUP BY 1",
     "json_array_filter": "SELECT l_orderkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (WHERE CAST(trunc(l_quantity) AS INT) > 30), '') AS lines, CAST(max(l_linenumber) AS INT) AS last FROM lineitem GROUP BY 1",
     "json_deep_value": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
 }
@@ -177,6 +177,6 @@ QUERIES = {
     for f in (
         ilike_search, json_text_search, tri_state_filter, distinct_from_changes, pattern_list_semi, filter_menu, composite_key_join, left_lateral_latest,
         latest_aggregate_base, reverse_list, functional_variant_dedupe, priority_rank, iso_times, base64_lenient, no_source_classes, defer_finish_transitions,
-        retest_decay, position_mismatch_ratio, backfill_plan, json_array_filter, json_deep_value,
+        retest_decay, position_mismatch_ratio, event_days, json_array_filter, json_deep_value,
     )
 }

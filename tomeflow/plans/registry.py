@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books, library, more, pages, pool, stored, streams, texts
+from . import books, library, more, names, pages, pool, stored, streams, texts
 
-MODULES = (library, texts, pool, more, pages, streams, books, stored)
+MODULES = (library, texts, pool, more, pages, streams, books, stored, names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import names as NM
 from ..functions import text as X
 from ..operators import components as C
 from ..operators import extraction as E
@@ -70,9 +71,11 @@ def fail_prefix_codec(s, d):
 
 
 def chapter_number(s, d):
-    names = ["第1章", "第十章", "第十二章", "第二十章", "第一百零五章", "第两千三百章", "第12回", "序", "第X章"]
-    x = s.createDataFrame([(n,) for n in names], "name string")
-    return x.select("name", X.chinese_number(F.regexp_extract("name", "^第(.+)[章回]$", 1)).alias("number"))
+    """Orders' sizes as numbers below ten thousand in Chinese digits, read back."""
+    n = (F.col("o_totalprice") % 10000).cast("int")
+    digit = lambda p, unit: F.when(F.floor(n / p) % 10 == 0, F.when((n % p > 0) & (n >= p * 10) & (F.floor(n * 10 / p) % 10 > 0), "零").otherwise("")).otherwise(F.concat(F.substring(F.lit(X.DIGITS), (F.floor(n / p) % 10).cast("int") + 1, F.lit(1)), F.lit(unit)))
+    name = F.concat(F.lit("第"), digit(1000, "千"), digit(100, "百"), digit(10, "十"), digit(1, ""), F.lit("章"))
+    return t(s, d, "orders").select("o_orderkey", NM.number_of(F.regexp_extract(name, "^第(.+)[章回]$", 1)).alias("number"))
 
 
 def char_ngrams_topk(s, d):
@@ -82,7 +85,7 @@ def char_ngrams_topk(s, d):
 
 def similar_titles(s, d):
     x = _titles(s, d).select("doc_id", "lang", F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("title"))
-    return Q.similar_titles(x, "doc_id", "title", "lang", 0.7, 3)
+    return Q.similar_titles(x, "doc_id", "title", "lang", 0.7, 2)
 
 
 def dup_clusters(s, d):
@@ -280,7 +283,7 @@ NORMAL = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '')"
 LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
 REASON = r"CASE WHEN regexp_matches(line, '(?i)all rights reserved|licensed under|released under') THEN 'rights' WHEN regexp_matches(line, '(?i)^\s*https?://\S+\s*$') THEN 'link' WHEN regexp_matches(line, '(\S+ \| ){2,}') THEN 'nav' WHEN regexp_matches(line, '^\s*[#*=_-]{3,}\s*$') THEN 'marker' END"
 GRAMS8 = "(SELECT DISTINCT {k}, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM {t}) WHERE len(w) >= 8))"
-TGRAMS = "(SELECT lang, k, min(doc_id) AS id, list_distinct(list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3))) AS g FROM (SELECT doc_id, lang, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS k FROM documents) WHERE length(k) >= 3 GROUP BY lang, k)"
+TGRAMS = "(SELECT lang, k, min(doc_id) AS id, list_distinct(list_transform(range(1, greatest(2, length(k))), lambda i: substr(k, i, 2))) AS g FROM (SELECT doc_id, lang, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS k FROM documents) WHERE length(k) >= 1 GROUP BY lang, k)"
 SIMILAR = f"SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)), 6) AS score FROM {TGRAMS} x JOIN {TGRAMS} y ON x.lang = y.lang AND x.id < y.id AND len(x.g) * 10 >= len(y.g) * 7 - 1 AND len(y.g) * 10 >= len(x.g) * 7 - 1 WHERE round(len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)), 6) >= 0.7"
 
 SQL = {
@@ -293,7 +296,7 @@ SQL = {
     "url_upgrade_collision": f"SELECT page_id, u FROM (SELECT *, max(native) OVER (PARTITION BY u) AS a FROM (SELECT page_id, regexp_replace({NORMAL}, '^http://', 'https://') AS u, CAST(starts_with(url, 'https://') AS INTEGER) AS native FROM pages)) WHERE native = 1 OR a = 0",
     "backoff_curves": "SELECT event_id, CAST(least(3600, 5 * power(2, event_id % 12)) AS BIGINT) AS wait2, CAST(least(100000, power(4, event_id % 12)) AS BIGINT) AS wait4 FROM events",
     "fail_prefix_codec": "SELECT event_id, CAST(event_id % 5 AS INTEGER) AS fails, 'fail_count:' || (event_id % 5 + 1) || ':x' AS next FROM events",
-    "chapter_number": "SELECT * FROM (VALUES ('第1章', 1), ('第十章', 10), ('第十二章', 12), ('第二十章', 20), ('第一百零五章', 105), ('第两千三百章', 2300), ('第12回', 12), ('序', NULL), ('第X章', NULL)) v(name, number)",
+    "chapter_number": "SELECT o_orderkey, nullif(CAST(trunc(o_totalprice % 10000) AS BIGINT), 0) AS number FROM orders",
     "char_ngrams_topk": f"SELECT gram, count(*) AS n FROM (SELECT DISTINCT doc_id, substr(k, i, 4) AS gram FROM (SELECT doc_id, k, unnest(range(1, length(k) - 2)) AS i FROM (SELECT doc_id, regexp_replace(lower({TITLE}), '[^a-z0-9]', '', 'g') AS k FROM documents) WHERE length(k) >= 4)) GROUP BY 1 ORDER BY n DESC, gram LIMIT 50",
     "similar_titles": SIMILAR,
     "dup_clusters": f"WITH RECURSIVE e AS (SELECT a, b FROM ({SIMILAR}) UNION SELECT b, a FROM ({SIMILAR})), r AS (SELECT a AS n, a AS m FROM e UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a) SELECT n AS doc_id, min(m) AS cluster FROM r GROUP BY 1",
