@@ -30,3 +30,12 @@ def test_xpath_article_reads_references_as_its_sql(spark, tmp_path, heading):
     pages = spark.createDataFrame([(1, "http://a/en/1", html)], "page_id long, url string, html string")
     got, want = against_sql(spark, tmp_path, "xpath_article", ("pages", pages))
     assert got == want
+
+
+def test_near_source_pairs_shuffles_lists_not_pairs(spark, tmp_path):
+    lines = [(s, p) for p in range(6) for s in range(9) if (s + p) % 4] * 2 + [(None, 1), (3, None), (77, 99)]
+    lines = spark.createDataFrame(lines, "l_suppkey long, l_partkey long")
+    got, want = against_sql(spark, tmp_path, "near_source_pairs", ("lineitem", lines))
+    assert got == want and len(got) == 36
+    joins = [x for x in plan_of(registry.queries()["near_source_pairs"](spark, str(tmp_path))).splitlines() if "Join" in x]
+    assert joins and not any("l_partkey" in x for x in joins)

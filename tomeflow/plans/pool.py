@@ -93,13 +93,19 @@ def role_alternation(s, d):
 
 
 def near_source_pairs(s, d):
-    """Sources whose sets of parts overlap the most, by Jaccard similarity of what they give."""
-    x = t(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    """Sources whose sets of parts overlap the most, by Jaccard similarity of what they give.
+
+    A part's sources meet as the rest of its sorted list behind each, so that a list, not each pair, is shuffled, once,
+    to its first source; pairs are counted where they arrive.
+    """
+    x = t(s, d, "lineitem").select("l_suppkey", "l_partkey").where("l_suppkey is not null").distinct()
     n = x.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    a, b = x.alias("a"), x.alias("b")
-    both = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey")))
-    both = both.groupBy(F.col("a.l_suppkey").alias("a"), F.col("b.l_suppkey").alias("b")).agg(F.count("*").alias("common"))
-    both = both.join(n.select(F.col("l_suppkey").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("l_suppkey").alias("b"), F.col("n").alias("nb")), "b")
+    met = x.where("l_partkey is not null").groupBy("l_partkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("of"))  # a part's sources
+    met = met.select("of", F.posexplode("of").alias("i", "a")).where(F.col("i") < F.size("of") - 1)
+    rest = met.select("a", F.slice("of", F.col("i") + 2, F.size("of")).alias("rest")).repartition("a")
+    own = rest.join(n.select(F.col("l_suppkey").alias("a"), F.col("n").alias("na")).hint("shuffle_hash"), "a")
+    both = own.select("a", "na", F.explode("rest").alias("b")).groupBy("a", "na", "b").agg(F.count("*").alias("common"))
+    both = both.join(n.select(F.col("l_suppkey").alias("b"), F.col("n").alias("nb")).hint("shuffle_hash"), "b")
     return both.select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("score"))
 
 
