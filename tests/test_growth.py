@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tomeflow.operators import samebook
 from tomeflow.plans import registry
 
 
@@ -39,3 +40,19 @@ def test_near_source_pairs_shuffles_lists_not_pairs(spark, tmp_path):
     assert got == want and len(got) == 36
     joins = [x for x in plan_of(registry.queries()["near_source_pairs"](spark, str(tmp_path))).splitlines() if "Join" in x]
     assert joins and not any("l_partkey" in x for x in joins)
+
+
+def test_same_book_compares_chapters_of_candidates_alone(spark):
+    line = lambda i, k: f"Title{i} alpha{i} beta{i} " + " ".join(f"w{i}x{j}{k}" for j in range(40))
+    books = [("a", "\n".join(line(i, "") for i in range(6))), ("b", "\n".join(line(i, "") for i in range(6)) + "\nend")]
+    alone = [(f"z{n}", "\n".join(line(1000 * n + i, "q") for i in range(6))) for n in range(1, 4)]
+    docs = spark.createDataFrame(books + alone + [("n", None), (None, books[0][1])], "id string, text string")
+    seen = []
+    real = samebook.bodies
+    try:
+        samebook.bodies = lambda d, key, text: (seen.extend(r[0] for r in d.select(key).collect()), real(d, key, text))[1]
+        got = samebook.same_book(docs, "id", "text").collect()
+    finally:
+        samebook.bodies = real
+    assert [tuple(r)[:2] for r in got] == [("a", "b")] and got[0].matches == 6
+    assert sorted(seen) == ["a", "b"]
