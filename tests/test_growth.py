@@ -1,10 +1,12 @@
 """Queries against their SQL on odd rows, and that the work of each grows no faster than its input."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tomeflow.operators import samebook
+from tomeflow.operators import samebook, tocalign
 from tomeflow.plans import registry
 
 
@@ -56,3 +58,11 @@ def test_same_book_compares_chapters_of_candidates_alone(spark):
         samebook.bodies = real
     assert [tuple(r)[:2] for r in got] == [("a", "b")] and got[0].matches == 6
     assert sorted(seen) == ["a", "b"]
+
+
+def test_alignment_meets_windows_by_place(spark):
+    contents = spark.createDataFrame([(k, i, f"name {i}") for k in "pq" for i in range(24)] + [("p", 24, None)], "key string, no int, name string")
+    windows = spark.createDataFrame([("p", "q", 0, 12), ("p", "q", 12, 999), ("p", "q", 30, 40), ("p", "q", 5, 5), ("p", "q", -3, 9)], "plan string, anchor string, first int, last int")
+    found = tocalign.align(windows, contents)
+    assert sorted(map(tuple, found.collect())) == [("p", "q", 0, 12, 0), ("p", "q", 12, 999, 0)]
+    assert not [x for x in plan_of(found).splitlines() if "Join" in x and re.search(r"\bno#\d+ (>=|<)", x)]
