@@ -1,13 +1,16 @@
 """Queries against their SQL on odd rows, and that the work of each grows no faster than its input."""
 
+import random
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tomeflow.operators import samebook, tocalign
-from tomeflow.plans import registry
+from tomeflow.operators import phrases, samebook, tocalign
+from tomeflow.plans import pages, registry
+from tomeflow.sources import tables, volumes
 
 
 def against_sql(spark, folder, name, *tables):
@@ -66,3 +69,15 @@ def test_alignment_meets_windows_by_place(spark):
     found = tocalign.align(windows, contents)
     assert sorted(map(tuple, found.collect())) == [("p", "q", 0, 12, 0), ("p", "q", 12, 999, 0)]
     assert not [x for x in plan_of(found).splitlines() if "Join" in x and re.search(r"\bno#\d+ (>=|<)", x)]
+
+
+def test_rows_go_to_python_in_bounded_batches(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, f"{i}" * 50_000) for i in range(10, 90)], "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    batch = lambda df: df.select(size("text").alias("n")).agg(F.max("n")).first()[0]
+    assert batch(tables.table(spark, str(tmp_path), "documents")) < 30
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    volumes.write(docs, "doc_id", "text", f"{tmp_path}/stored")
+    assert batch(docs) < 30

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import bound_batches
+
 #: Blanks; signs of numbers; what follows a number; names that are headings alone; what may stand
 #: between a heading and its caption, and what no caption holds; titles of what has no heading; most bytes of a
 #: heading's line and most characters of its title.
@@ -182,6 +184,7 @@ def write(books: DataFrame, key: str, text: str, path: str, soft: int = VOLUME_B
     Keys are expected once; rows with a null key or a null or empty text are not stored. No shuffle: a text's volumes
     are cut where it lies, and its manifest is computed in a second pass over the input rather than held.
     """
+    bound_batches(books.sparkSession)
     x = books.where(F.col(key).isNotNull() & (F.octet_length(text) > 0)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.encode(text, "UTF-8").alias("data"), layout(F.col(text), soft, hard, part).alias("l"))
     cut = lambda v: _slice(F.col("data"), v["first_byte"], v["last_byte"])
     one = x.select("key", "data", F.explode("l.volumes").alias("v"))
