@@ -95,3 +95,13 @@ def test_pages_are_parsed_once_however_many_follow(spark, tmp_path):
     starts = spark.createDataFrame([(1, "u0")], "book int, url string")
     got = pages.follow_pages(starts, x.withColumn("url", page("url")), "book", "url", "chapters", "next")
     assert got.count() == 8 and parsed.value == 8
+
+
+def test_one_pattern_finds_what_the_trie_finds():
+    rng = random.Random(3)
+    for _ in range(300):
+        pairs = [(p, f"<{p}>") for p in {"".join(rng.choices("ab.*é\n", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 12))}]
+        text = "".join(rng.choices("abc.*é\n", k=60))
+        root = phrases.trie(pairs)
+        begins = re.compile(f"[{re.escape(''.join(sorted(root)))}]" if root else r"(?!)")
+        assert phrases.replacer(pairs)(text) == phrases.replaced(text, root, begins)

@@ -4,6 +4,7 @@ covers is passed over, and characters that begin none stay."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Phrases, and characters of all of them, up to which the table goes to every task.
 MOST_PHRASES, MOST_CHARS = 200_000, 4_000_000
+#: Characters of all phrases, and of one, up to which the table is one pattern.
+PATTERN_CHARS, PATTERN_PHRASE = 200_000, 64
 
 _VALUE = ""  # key of a trie's node under which a phrase that ends there has its value
 
@@ -26,6 +29,24 @@ def trie(pairs) -> dict:
     return root
 
 
+def pattern(root: dict) -> re.Pattern:
+    """Of a trie: it matches, where a phrase begins, the longest one."""
+
+    def after(node: dict) -> str:
+        ways = []
+        for c, below in node.items():
+            if c == _VALUE:
+                continue
+            run = [c]
+            while len(below) == 1 and _VALUE not in below:  # a phrase's only way on needs no group
+                ((c, below),) = below.items()
+                run.append(c)
+            ways.append(re.escape("".join(run)) + after(below))
+        return f"(?:{'|'.join(ways)}){'?' if _VALUE in node else ''}" if ways else ""
+
+    return re.compile(after(root) or r"(?!)")
+
+
 def replaced(text: str, root: dict, begins: re.Pattern) -> str:
     """text with phrases of the trie replaced; begins finds a phrase's first character."""
     out, done = [], 0
@@ -42,6 +63,16 @@ def replaced(text: str, root: dict, begins: re.Pattern) -> str:
     return "".join(out)
 
 
+def replacer(pairs: list[tuple[str, str]]) -> Callable[[str], str]:
+    """What replaces phrases in a text: by one pattern of all, or for tables too large to be one by walks of the trie."""
+    root = trie(pairs)
+    if sum(len(p) for p, _ in pairs) <= PATTERN_CHARS and max((len(p) for p, _ in pairs), default=0) <= PATTERN_PHRASE:
+        found, values = pattern(root), dict(pairs)
+        return lambda s: found.sub(lambda m: values[m[0]], s)
+    begins = re.compile(f"[{re.escape(''.join(sorted(root)))}]" if root else r"(?!)")
+    return lambda s: replaced(s, root, begins)
+
+
 def _table(table: DataFrame, phrase: str, value: str) -> DataFrame:
     """(phrase, value): of a phrase with several values the least; empty phrases and nulls have no part in it."""
     x = table.select(F.col(phrase).alias("phrase"), F.col(value).alias("value")).where("phrase <> '' and value is not null")
@@ -62,10 +93,10 @@ def convert(rows: DataFrame, key: str, text: str, out: str, table: DataFrame, ph
     shared = rows.sparkSession.sparkContext.broadcast(pairs)
 
     @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        root = trie(shared.value)
-        begins = re.compile(f"[{re.escape(''.join(sorted(root)))}]" if root else r"(?!)")
-        return pd.Series([None if s is None else replaced(s, root, begins) for s in texts], dtype="object")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        put = replacer(shared.value)
+        for texts in batches:
+            yield pd.Series([None if s is None else put(s) for s in texts], dtype="object")
 
     return rows.withColumn(out, run(F.col(text)))
 
