@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tomeflow.functions import names
 from tomeflow.operators import phrases, samebook, tocalign
 from tomeflow.plans import pages, registry
 from tomeflow.sources import tables, volumes
@@ -105,3 +106,11 @@ def test_one_pattern_finds_what_the_trie_finds():
         root = phrases.trie(pairs)
         begins = re.compile(f"[{re.escape(''.join(sorted(root)))}]" if root else r"(?!)")
         assert phrases.replacer(pairs)(text) == phrases.replaced(text, root, begins)
+
+
+def test_a_chapters_number_is_read_once(spark):
+    x = spark.createDataFrame([("第十二章a。",), ("第3章",), ("b!",), ("",), (None,), ("第千万回x",)], "t string")
+    got = x.select(names.chapter_key(F.col("t")).alias("k"))
+    want = [("第12章a", 12, "a"), ("第3章", 3, ""), ("b", None, "b"), ("", None, ""), (None, None, None), ("第10000000回x", 10_000_000, "x")]
+    assert [tuple(r.k) for r in got.collect()] == want
+    assert got._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1

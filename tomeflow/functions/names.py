@@ -83,11 +83,14 @@ def chapter_key(normal: Column) -> Column:
     name = F.regexp_replace(normal, TAIL, "")
     mark = "^第([零〇一二三四五六七八九十百千万两0-9]+)([" + COUNTED + "])"
 
+    # Each value is bound once: inside lambdas nothing is shared, and the number is dear.
     def read(s):
-        number = number_of(F.nullif(F.regexp_extract(s, mark, 1), F.lit("")))
+        return X.let(F.nullif(F.regexp_extract(s, mark, 1), F.lit("")), lambda digits: X.let(number_of(digits), lambda number: numbered(s, number)))
+
+    def numbered(s, number):
         rest = F.when(number.isNotNull(), F.regexp_replace(F.regexp_replace(s, mark, ""), TAIL, "")).otherwise(s)
-        key = F.when(number.isNotNull(), F.concat(F.lit("第"), number.cast("string"), F.regexp_extract(s, mark, 2), rest)).otherwise(s)
-        return F.struct(key.alias("key"), number.alias("number"), rest.alias("rest"))
+        whole = lambda rest: F.when(number.isNotNull(), F.concat(F.lit("第"), number.cast("string"), F.regexp_extract(s, mark, 2), rest)).otherwise(s)
+        return X.let(rest, lambda rest: F.struct(whole(rest).alias("key"), number.alias("number"), rest.alias("rest")))
 
     return X.let(name, read)
 
