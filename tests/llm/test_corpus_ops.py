@@ -173,6 +173,50 @@ def test_join_region():
         assert plain_components(range(61), got + known) == plain_components(range(61), links + known)
 
 
+def test_jaccard_sends_members_only_where_sets_may_link(spark, monkeypatch):
+    """A region of 100 sets (cut into 1 or 3 pieces) that share a tenth, of which two link."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 63, 8).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 72).astype(np.uint64)])) for _ in range(99)]
+    sets.append(sets[5][2:])
+    made = [(i, len(s), s.astype("<u8").tobytes(), jaccard.sketch(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(pd.DataFrame(made, columns=["id", "n", "members", "sketch"]), "id long, n long, members binary, sketch binary")
+    x = members.selectExpr("1L AS region", "id", "n", "-1L AS pivot", "0D AS near")
+    for group in (jaccard.GROUP, 40):
+        monkeypatch.setattr(jaccard, "GROUP", group)
+        sent, real = [], jaccard.save
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "save", lambda df, name, *a: (out := real(df, name, *a), sent.append(out.count()) if name == "left" else None)[0])
+            links = jaccard._join_open(x, spark.createDataFrame([], "a long, b long"), members, 90, 100)
+            assert {tuple(sorted(r)) for r in links.collect()} == {(5, 99)}
+        assert sent == [2]
+
+
+def test_jaccard_may_link():
+    """Against all pairs: classes, pivots, distances not known, pieces, sets with cells of 255 members."""
+    rng = np.random.default_rng(5)
+    pool, linked, taken = rng.integers(0, 1 << 63, 60).astype(np.uint64), 0, []
+    for trial in range(30):
+        sets = [np.unique(rng.choice(pool, rng.integers(40, 60), replace=False)) for _ in range(40)]
+        sets += [np.arange(k, 300 + k, dtype=np.uint64) for k in (0, 2, 200)]
+        k = len(sets)
+        x = pd.DataFrame({"id": np.arange(k) + 100, "n": [len(s) for s in sets], "root": rng.integers(0, 6, k), "near": rng.choice([0.0, 0.15, 0.4, np.nan], k), "pivot": rng.choice([100, 7], k), "sketch": [jaccard.sketch(s) for s in sets], "piece": rng.integers(0, 2, k), "i": 0, "j": trial % 2})
+        want = np.zeros(k, bool)
+        for a in range(k):
+            for b in range(k):
+                common = jaccard.overlap(sets[a], sets[b])
+                links = 10 * common >= 7 * (len(sets[a]) + len(sets[b]) - common)
+                far = abs(x["near"][a] - x["near"][b]) > 0.3 + 1e-6
+                apart = x["root"][a] != x["root"][b] and not far and (x["id"] != x["pivot"])[[a, b]].all()
+                if links and apart and (trial % 2 == 0 or x["piece"][a] != x["piece"][b]):
+                    want[a] = True
+        got = jaccard.may_link(x, 7, 10)
+        assert got[want].all()
+        linked += want.sum()
+        taken += got.tolist()
+    assert linked > 30 and not all(taken)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2200)]

@@ -307,6 +307,41 @@ def _close_pairs(num: int, den: int):
     return run
 
 
+def may_link(x: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Which rows of two pieces of a region have another one beside them, of another class and inside its window, that
+    by the cells' counts they may link with. Those with the pivot have been measured, those of one of two pieces are
+    met where it is alone."""
+    order = np.argsort(x["n"].to_numpy(), kind="stable")
+    n, root, near, piece, ids, pivot = (x[c].to_numpy()[order] for c in ("n", "root", "near", "piece", "id", "pivot"))
+    cells = np.frombuffer(b"".join(x["sketch"]), "u1").reshape(-1, CELLS)[order]
+    alone, done, full = bool((x["i"] == x["j"]).all()), ids == pivot, (cells == 255).any(1)
+    ends = np.searchsorted(n, n * den // num, side="right")  # the largest sets that are not too large
+    out = np.zeros(len(n), bool)
+    for k in np.flatnonzero(~done).tolist():
+        other = np.arange(k + 1, ends[k])
+        take = (root[other] != root[k]) & ~done[other] & ~(np.abs(near[other] - near[k]) > 1 - num / den + SLACK)
+        if not alone:
+            take &= piece[other] != piece[k]
+        if out[k]:
+            take &= ~out[other]
+        other = other[take]
+        if len(other):
+            most = np.where(full[other] | full[k], n[k], np.minimum(cells[other], cells[k]).sum(1, dtype=np.int64))
+            other = other[den * most >= num * (n[other] + n[k] - most)]
+            out[other] = True
+            out[k] |= len(other) > 0
+    back = np.empty(len(n), bool)
+    back[order] = out
+    return back
+
+
+def _left_open(num: int, den: int):
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        return x.loc[may_link(x, num, den), ["region", "i", "j", "id", "root", "near"]]
+
+    return run
+
+
 def _join_regions(num: int, den: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(m, "<u8") for m in x["members"]]
@@ -368,10 +403,14 @@ def _join_open(x: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: i
         alike = alike.groupBy("h", "h2", "k").agg(F.min("region").alias("region")).select("region")
         middle = save(_pieces(middle.join(alike, "region")), "middle")
         if not middle.isEmpty():
-            ids = save(middle.select("id").distinct(), "ids")
-            joined = middle.join(_only(sets, ids).select("id", "members"), "id")
+            # Members go only to where a set may still link: nearly all of a region's pairs fall by their sketches.
+            known = middle.join(sets.select("id", "sketch"), "id").select("region", "i", "j", "piece", "id", "n", "root", "pivot", "near", "sketch")
+            left = save(known.groupBy("region", "i", "j").applyInPandas(_left_open(num, den), "region long, i int, j int, id long, root long, near double"), "left")
+            ids = save(left.select("id").distinct(), "ids")
+            joined = left.join(_only(sets, ids).select("id", "members"), "id")
             joined = joined.select("region", "i", "j", "id", "root", "near", "members").groupBy("region", "i", "j").applyInPandas(_join_regions(num, den), "a long, b long")
             links = links.union(save(joined, "links"))
+            discard(left, ids)
         large = x.where((F.col("count") > LEAF) & ~fits)
         if last or large.isEmpty():
             return links
