@@ -114,3 +114,11 @@ def test_a_chapters_number_is_read_once(spark):
     want = [("第12章a", 12, "a"), ("第3章", 3, ""), ("b", None, "b"), ("", None, ""), (None, None, None), ("第10000000回x", 10_000_000, "x")]
     assert [tuple(r.k) for r in got.collect()] == want
     assert got._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+
+
+def test_near_names_reads_its_tables_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Kettle lantern\nmarble"), (2, "kettles"), (3, None), (4, ""), (5, "\nbasket")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "kettle lanterns\nbasket"), (2, None)], "item_id long, text string")
+    got, want = against_sql(spark, tmp_path, "near_names", ("documents", docs), ("benchmark", items))
+    assert got == want and len(got) == 3
+    assert "documents.parquet" not in plan_of(registry.queries()["near_names"](spark, str(tmp_path)))

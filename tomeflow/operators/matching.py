@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import saved
 
 #: Marks that sites put around or beside titles, and the brackets of them; least characters of a title
 #: that another holds, and of titles compared by edits; most edits.
@@ -49,8 +50,9 @@ def near_titles(wanted: DataFrame, found: DataFrame) -> DataFrame:
     Candidates are exact, none is missed: a title that is held shows its first four characters among the other's
     runs of four; of three pieces of a title two edits leave one whole, at most two places off.
     """
-    a = wanted.toDF("a").where("a <> ''").distinct()
-    b = found.toDF("b").where("b <> ''").distinct()
+    # Written, as each tier reads both: else the tables that titles are made of are read once a tier.
+    a = saved(wanted.toDF("a").where("a <> ''").distinct(), "wanted")
+    b = saved(found.toDF("b").where("b <> ''").distinct(), "found")
     equal = a.join(b, F.col("a") == F.col("b")).select("a", "b")
     body = lambda t, c: t.withColumn("k", title_body(F.col(c))).where("k <> ''")
     bodies = body(a, "a").join(body(b, "b"), "k").select("a", "b")

@@ -28,7 +28,7 @@ def chapter_keys(s, d):
 def near_names(s, d):
     """Words of the benchmark and words of the documents' first lines that are nearly equal."""
     words = lambda name, text: t(s, d, name).select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
-    return matching.near_titles(words("benchmark", F.col("text")), words("documents", F.split("text", "\n")[0]))
+    return matching.near_titles(words("benchmark", F.col("text")), words("documents", F.substring_index("text", "\n", 1)))
 
 
 def absolute_links(s, d):
