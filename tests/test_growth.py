@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tomeflow.functions import names
 from tomeflow.operators import phrases, samebook, tocalign
 from tomeflow.plans import pages, registry
-from tomeflow.sources import tables, volumes
+from tomeflow.sources import charset, tables, volumes
 
 
 def against_sql(spark, folder, name, *tables):
@@ -84,6 +84,29 @@ def test_rows_go_to_python_in_bounded_batches(spark, tmp_path):
     assert batch(docs) < 30
 
 
+def test_page_charsets_sends_python_bounded_batches_of_its_rows(spark, tmp_path, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    html = F.concat(F.lit('<html><head><meta charset="utf-8"></head><body>第'), F.repeat(F.lit("é"), 25_000), F.col("id").cast("string"))
+    rows = spark.range(120).select(F.col("id").alias("page_id"), html.alias("html"))
+    got, want = against_sql(spark, tmp_path, "page_charsets", ("pages", rows))
+    assert got == want and len(got) == 120
+    log = tmp_path / "batches"
+
+    @F.pandas_udf("binary")
+    def seen(text: pd.Series, name: pd.Series) -> pd.Series:
+        with log.open("a") as f:
+            f.write(f"{len(text)} {text.notna().sum()} {sum(len(x.encode()) for x in text if x is not None)}\n")
+        return pd.Series([None if x is None else x.encode(n) for x, n in zip(text, name, strict=True)], dtype="object")
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(charset, "encoded", seen)
+    again = registry.queries()["page_charsets"](spark, str(tmp_path)).select("page_id", "h", "charset", "exact")
+    assert sorted(map(tuple, again.collect()), key=repr) == got
+    batches = [tuple(map(int, x.split())) for x in log.read_text().splitlines()]
+    assert sum(n for n, _, _ in batches) == 120 and sum(n for _, n, _ in batches) == 80
+    assert max(size for _, _, size in batches) < 2 * tables.BATCH_BYTES
+
+
 def test_pages_are_parsed_once_however_many_follow(spark, tmp_path):
     parsed = spark.sparkContext.accumulator(0)
 
