@@ -145,3 +145,22 @@ def test_near_names_reads_its_tables_once(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "near_names", ("documents", docs), ("benchmark", items))
     assert got == want and len(got) == 3
     assert "documents.parquet" not in plan_of(registry.queries()["near_names"](spark, str(tmp_path)))
+
+
+def test_chapter_pairs_of_repeated_orders_null_places_and_ties(spark, tmp_path):
+    orders = [(o, o // 4) for o in range(12)] + [(5, 1), (5, 1), (None, 1), (6, None)]
+    lines = [(o, n, 10 * n + k, 7 * o + n, 0.01 * (o % 3)) for o in range(12) for k, n in enumerate([3, 1, 2][: 1 + o % 3])]
+    lines += [(5, None, 1, 3, 0.02), (6, 2, None, 4, 0.02), (4, None, None, 1, 0.01), (None, 1, 1, 1, 0.1), (7, 1, 10, 8, None)]
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_custkey long")
+    x = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_tax double")
+    got, want = against_sql(spark, tmp_path, "chapter_pairs", ("orders", orders), ("lineitem", x))
+    assert got == want and len(got) > 8 and len({g[2] for g in got}) == 2
+    tied = [(o, 1, 1, s, 0.1) for o, ss in ((1, (1, 2, 3)), (2, (2, 8, 4))) for s in ss]
+    two = spark.createDataFrame([(1, 1), (2, 1)], "o_orderkey long, o_custkey long")
+    seen = set()
+    for i, rows in enumerate((tied, tied[::-1])):
+        at = tmp_path / f"ties{i}"
+        two.write.parquet(f"{at}/orders.parquet")
+        spark.createDataFrame(rows, x.schema).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        seen.add(tuple(map(tuple, registry.queries()["chapter_pairs"](spark, str(at)).collect())))
+    assert len(seen) == 1
