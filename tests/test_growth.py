@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.functions import names
-from tomeflow.operators import phrases, samebook, tocalign
+from tomeflow.operators import phrases, samebook, textquality, tocalign
 from tomeflow.plans import pages, registry
 from tomeflow.sources import charset, tables, volumes
 
@@ -164,3 +164,18 @@ def test_chapter_pairs_of_repeated_orders_null_places_and_ties(spark, tmp_path):
         spark.createDataFrame(rows, x.schema).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
         seen.add(tuple(map(tuple, registry.queries()["chapter_pairs"](spark, str(at)).collect())))
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("piece", [textquality.PIECE, 7])
+def test_similar_titles_writes_no_candidates(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(textquality, "PIECE", piece)
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdef 123", k=rng.randint(1, 60))) for _ in range(12)]
+    titles = [b[:i] + rng.choice("xyz") + b[i:] for b in base for i in rng.sample(range(len(b) + 1), min(6, len(b)))] + base + ["", "a", "A", "!", "b", "ab", "Ab!", "\nx"]
+    rows = [(i, t, rng.choice(["en", "de"])) for i, t in enumerate(titles)] + [(900, titles[0], None), (901, None, "en"), (None, titles[3], "en"), (902, "lone title", "fr"), (902, "lone titles", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, want = against_sql(spark, tmp_path, "similar_titles", ("documents", docs))
+    assert got == want and len(got) > 40
+    plan = plan_of(registry.queries()["similar_titles"](spark, str(tmp_path)))
+    assert not re.search(r"Join.*\bgram", plan) and "documents.parquet" not in plan
+    assert registry.queries()["dup_clusters"](spark, str(tmp_path)).count() == len({x for a, b, _ in want for x in (a, b)})
