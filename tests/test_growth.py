@@ -166,9 +166,10 @@ def test_chapter_pairs_of_repeated_orders_null_places_and_ties(spark, tmp_path):
     assert len(seen) == 1
 
 
-@pytest.mark.parametrize("piece", [textquality.PIECE, 7])
-def test_similar_titles_writes_no_candidates(spark, tmp_path, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "grams"), [(textquality.PIECE, textquality.MOST_GRAMS), (7, textquality.MOST_GRAMS), (7, 3)])
+def test_similar_titles_writes_no_candidates(spark, tmp_path, monkeypatch, piece, grams):
     monkeypatch.setattr(textquality, "PIECE", piece)
+    monkeypatch.setattr(textquality, "MOST_GRAMS", grams)
     rng = random.Random(5)
     base = ["".join(rng.choices("abcdef 123", k=rng.randint(1, 60))) for _ in range(12)]
     titles = [b[:i] + rng.choice("xyz") + b[i:] for b in base for i in rng.sample(range(len(b) + 1), min(6, len(b)))] + base + ["", "a", "A", "!", "b", "ab", "Ab!", "\nx"]
