@@ -12,6 +12,7 @@ from tomeflow.functions import names
 from tomeflow.operators import phrases, samebook, textquality, tocalign
 from tomeflow.plans import pages, registry
 from tomeflow.sources import charset, tables, volumes
+from tomeflow.streaming import health
 
 
 def against_sql(spark, folder, name, *tables):
@@ -180,3 +181,48 @@ def test_similar_titles_writes_no_candidates(spark, tmp_path, monkeypatch, piece
     plan = plan_of(registry.queries()["similar_titles"](spark, str(tmp_path)))
     assert not re.search(r"Join.*\bgram", plan) and "documents.parquet" not in plan
     assert registry.queries()["dup_clusters"](spark, str(tmp_path)).count() == len({x for a, b, _ in want for x in (a, b)})
+
+
+def test_suspects_as_their_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(health, "SHARES", 3)
+    rng = random.Random(2)
+    rows = [(i, i * 9_000 + rng.randint(-5_000, 5_000), rng.randint(0, 40), rng.choice(["error", "view", None])) for i in range(900)]
+    rows += [(901, 5_000_000, None, "error"), (None, 5_000_000, 3, "error"), (903, 5_000_000, -4, "error"), (904, 5_000_000, -4, "error")]
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")).cast("timestamp_ntz")
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string").select("event_id", at.alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    got, want = against_sql(spark, tmp_path, "stream_suspects", ("events", events))
+    assert got == want and len(got) > 20 and (-4, 904, 2) in got
+
+
+def test_suspects_call_state_for_batches_not_for_events():
+    calls, kept, timers = [], {}, set()
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return kept.get(0)
+
+        def update(self, v):
+            calls.append("update")
+            kept[0] = v
+
+        def clear(self):
+            kept.clear()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.add(at)
+
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 10_000})()
+    p = health.Suspects(2, 500, 10_000)
+    p.init(Handle())
+    rows = [(u, 1_000_000 + 1_000_000 * k, 100 * u + k, k % 3 > 0) for u in range(50) for k in range(12)]
+    for half in (rows[::2], rows[1::2] + rows[:9]):
+        assert list(p.handleInputRows((0,), iter([pd.DataFrame(half, columns=["user_id", "us", "event_id", "failed"])]), times)) == []
+    assert min(timers) < 1_000
+    got = [tuple(x) for f in p.handleExpiredTimer((0,), times, None) for x in f.itertuples(index=False)]
+    assert got == [(u, 100 * u + k, 2) for u in range(50) for k in (2, 5, 8)]
+    assert len(calls) <= 10 and len(kept[0][1]) == 100 * health.WAITING.itemsize
