@@ -183,6 +183,16 @@ def test_similar_titles_writes_no_candidates(spark, tmp_path, monkeypatch, piece
     assert registry.queries()["dup_clusters"](spark, str(tmp_path)).count() == len({x for a, b, _ in want for x in (a, b)})
 
 
+def test_same_book_leaves_out_candidates_that_cannot_share_enough(spark):
+    own = lambda k, n: [f"own{k}x{i}" for i in range(n)]
+    rows = [(k, ["aaaa", *own(k, 5)]) for k in range(6)] + [(10, ["b1bb", "b2bb", "b3bb", "b4bb", "b5bb", "own10"]), (11, ["b1bb", "b2bb", "b3bb", "b4bb", "b5bb"])]
+    rows += [(20 + k, [f"c{i}cc" for i in range(5)] + own(20 + k, 3 * k)) for k in range(3)] + [(30 + k, [f"{c}{i}{c}" for c in ("dd", "ee") for i in range(3)] + own(30 + k, 3)) for k in range(2)]
+    toc = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "key int, titles array<string>, n int")
+    got = {tuple(r) for r in samebook._candidates(toc).collect()}
+    alike = {(a, b) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) >= max(5, 0.6 * len({*x} | {*y}))}
+    assert alike <= got and len(alike) == 2 and got <= alike | {(30, 31), (21, 22)}
+
+
 def test_suspects_as_their_sql(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(health, "SHARES", 3)
     rng = random.Random(2)
